@@ -130,7 +130,7 @@ def test_quality_counts():
 
 
 def test_quality_lines_and_edges(spark):
-    filler = [f"own line number {i} with words of its own making here" for i in range(2000)]
+    filler = [" ".join(f"{w}{i}" for w in ("own", "line", "with", "words", "of", "its", "making")) for i in range(2000)]
     rows = [(i, "\n".join(["Common  Boiler Plate line"] + filler[i * 10 : i * 10 + 10]), "en", "h") for i in range(60)]
     rows += [(100 + i, "\n".join(["common boiler plate LINE"] * 3 + [f"x{i} y{i} z{i}"]), "en", "h") for i in range(3)]
     got = {r.doc_id: r for r in quality.quality(documents(spark, rows)).collect()}
