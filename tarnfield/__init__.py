@@ -1,0 +1 @@
+"""Queries over semi-structured records (JSON and newline-delimited JSON) on Spark."""
