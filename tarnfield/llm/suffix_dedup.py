@@ -8,16 +8,20 @@ anchor whose leading GRAM bytes repeat.
 
 1. Anchors' leading bytes are counted, as hashes, combining map-side. The
    repeated ones become a bitmap of fixed size.
-2. Suffixes at such anchors, with the bytes around them that a WINDOW-byte
-   string through the anchor can reach, are range-partitioned by their leading
-   bytes at sampled splitters and sorted inside the buckets. Equal leading
-   bytes never straddle a boundary. Within a run, the strings at each offset
-   are sorted and neighbours compared: equal ones are repeated strings.
-3. Leading bytes with more than HOT suffixes (a passage in a third of all
-   documents) would make one bucket. Their surroundings are collapsed to
-   distinct ones first, and these are compared as rows dealt out by the hash of
-   the whole string, so one passage spreads over all tasks.
-4. Intervals go back to their documents, which cut the bytes out.
+2. Each anchor that the bitmap lets through has surroundings: the bytes that a
+   WINDOW-byte string through it can reach. Their hashes are counted. Equal
+   surroundings settle each other. Only leading bytes with different
+   surroundings go on, again as a bitmap.
+3. The suffixes at those, with their surroundings, are range-partitioned by
+   their leading bytes at sampled splitters and sorted inside the buckets.
+   Equal leading bytes never straddle a boundary. Within a run, the strings at
+   each offset are sorted and neighbours compared: equal ones are repeated.
+4. Leading bytes with more than HOT suffixes (a passage in a third of all
+   documents) would make one bucket. Their distinct surroundings are compared
+   as rows dealt out by the hash of the whole string, so one passage spreads
+   over all tasks.
+5. What is repeated around an anchor goes back to all anchors with these
+   surroundings, and from there to their documents, which cut the bytes out.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +39,9 @@ from .common import bitmap_bits, bitmap_bytes, bitmap_has, materialise, row_slic
 
 WINDOW = 200
 GRAM = 64
-HOT = 4096
+HOT = 16384
 #: Bytes of a text whose anchors are chosen at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BLOCK_ROWS = 4096
 
 _REACH = WINDOW - GRAM  # bytes before an anchor that a string through it can have
@@ -102,7 +107,10 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gram"])
 
 
-SUFFIXES = "gram long, hot boolean, id long, text_hash long, place long, before int, around binary"
+ANCHORS = "gram long, key long, before int, length int, id long, text_hash long, place long"
+SUFFIXES = "gram long, hot boolean, key long, before int, around binary"
+#: Surroundings that a task remembers having sent.
+SEEN = 1_000_000
 
 
 def window_hashes(around: list[bytes], before: np.ndarray, rolling: Rolling) -> np.ndarray:
@@ -135,17 +143,15 @@ def repeated_range(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes in, intervals out; runs of equal leading bytes are compared together."""
+    """Sorted suffixes in, what is repeated around them out; runs of equal leading bytes are compared together."""
     rolling = Rolling(_REACH + WINDOW)
 
     def block(rows: pa.Table) -> pa.RecordBatch:
         h = window_hashes(rows.column("around").to_pylist(), rows.column("before").to_numpy(), rolling)
         hit, lo, hi = repeated_range(h)
         at = np.flatnonzero(hit)
-        places = rows.column("place").to_numpy()[at] - _REACH
-        picked = rows.take(pa.array(at))
-        ids = [picked.column(c).combine_chunks() for c in ("id", "text_hash")]
-        return pa.RecordBatch.from_arrays([*ids, pa.array(places + lo[at]), pa.array(places + hi[at] + WINDOW)], ["id", "text_hash", "first", "last"])
+        keys = rows.column("key").combine_chunks().take(pa.array(at))
+        return pa.RecordBatch.from_arrays([keys, pa.array(lo[at], pa.int32()), pa.array(hi[at], pa.int32())], ["key", "lo", "hi"])
 
     held: pa.Table | None = None
     for batch in batches:
@@ -167,30 +173,41 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct surroundings in, a row per string through the anchor out."""
     rolling = Rolling(_REACH + WINDOW)
     for part in row_slices(batches, 1024):
-        before = part.column("before").to_numpy()
-        h = window_hashes(part.column("around").to_pylist(), before, rolling)
-        good = h >= np.uint64(part.num_rows)
-        at, col = np.nonzero(good)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("key").take(pa.array(at)), pa.array(before[at], pa.int32()), pa.array(col, pa.int32()), pa.array(h[at, col].view(np.int64))],
-            ["key", "before", "col", "string_hash"],
-        )
-
-
-def hot_intervals(hot: DataFrame) -> DataFrame:
-    """Intervals of suffixes whose leading bytes are very frequent, without any bucket of them."""
-    hot = hot.withColumn("key", F.xxhash64("around"))
-    kinds = materialise(hot.groupBy("key", "before").agg(F.count("*").alias("n"), F.first("around").alias("around")), "suffix-kinds")
-    rows = materialise(kinds.mapInArrow(_windows, "key long, before int, col int, string_hash long"), "suffix-windows")
+        h = window_hashes(part.column("around").to_pylist(), part.column("before").to_numpy(), rolling)
+        at, col = np.nonzero(h >= np.uint64(part.num_rows))
+        yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(at)), pa.array(col, pa.int32()), pa.array(h[at, col].view(np.int64))], ["key", "col", "string_hash"])
+
+
+def hot_ranges(hot: DataFrame) -> DataFrame:
+    """(key, lo, hi) of suffixes whose leading bytes are very frequent, without any bucket of them."""
+    kinds = hot.groupBy("key").agg(F.first("before").alias("before"), F.first("around").alias("around"))
+    rows = materialise(kinds.mapInArrow(_windows, "key long, col int, string_hash long"), "suffix-windows")
     # A string meets its equals at the same place before their anchors; without col it would meet itself at another anchor
     repeated = rows.groupBy("string_hash", "col").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    found = rows.join(repeated, ["string_hash", "col"], "left_semi").groupBy("key", "before").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
-    whole = kinds.where((F.col("n") > 1) & (F.length("around") >= WINDOW)).select(
-        "key", "before", (F.lit(_REACH) - F.col("before")).alias("lo"), (F.lit(_REACH - WINDOW) - F.col("before") + F.length("around")).alias("hi")
-    )
-    ranges = whole.unionByName(found.join(whole, ["key", "before"], "left_anti"))
-    start = F.col("place") - _REACH
-    return hot.join(ranges, ["key", "before"]).select("id", "text_hash", (start + F.col("lo")).alias("first"), (start + F.col("hi") + WINDOW).alias("last"))
+    return rows.join(repeated, ["string_hash", "col"], "left_semi").groupBy("key").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
+
+
+class Chosen:
+    """Anchors of texts that a bitmap lets through, with their surroundings; made once per task."""
+
+    def __init__(self, marks: bytes, bits: int):
+        self.rolling, self.marks, self.bits = Rolling(CHUNK + WINDOW), np.frombuffer(marks, np.uint8), bits
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Document number, place, leading-byte hash, bytes before, surroundings and their hash of each."""
+        found: list[tuple] = []
+        around: list[bytes] = []
+        for i, text in enumerate(texts):
+            raw = text.encode()
+            at, h = anchors(raw, self.rolling)
+            keep = bitmap_has(self.marks, self.bits, h)
+            at, h = at[keep], h[keep]
+            first = np.maximum(at - _REACH, 0)
+            found.append((np.full(len(at), i), at, h, at - first))
+            around += [raw[f:e] for f, e in zip(first.tolist(), (at + WINDOW).tolist())]
+        doc, place, gram, before = (np.concatenate(x) for x in zip(*found))
+        key = np.fromiter((xxhash.xxh64_intdigest(a, b) for a, b in zip(around, before.tolist())), np.uint64, len(around))
+        return doc, place, gram, before, around, key
 
 
 def repeated_intervals(docs: DataFrame, hot_above: int = HOT) -> DataFrame:
@@ -199,41 +216,62 @@ def repeated_intervals(docs: DataFrame, hot_above: int = HOT) -> DataFrame:
     long_enough = docs.where(F.octet_length("text") >= WINDOW)
     grams = long_enough.select("text").mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     grams = materialise(grams, "suffix-grams")
-    n, n_hot = grams.agg(F.count("*"), F.count(F.when(F.col("n") > hot_above, 1))).first()
-    bits, hot_bits = bitmap_bits(n), bitmap_bits(n_hot)
+    bits = bitmap_bits(grams.count())
     seen = spark.sparkContext.broadcast(bitmap_bytes(grams, F.col("gram"), bits))
-    frequent = spark.sparkContext.broadcast(bitmap_bytes(grams.where(F.col("n") > hot_above), F.col("gram"), hot_bits) if n_hot else b"")
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, marks, hot_marks = Rolling(CHUNK + WINDOW), np.frombuffer(seen.value, np.uint8), np.frombuffer(frequent.value, np.uint8)
+    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = Chosen(seen.value, bits)
         for part in row_slices(batches, 64):
-            doc, places, hashes, before, around = [], [], [], [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                raw = text.encode()
-                at, h = anchors(raw, rolling)
-                keep = bitmap_has(marks, bits, h)
-                at, h = at[keep], h[keep]
-                first = np.maximum(at - _REACH, 0)
-                doc.append(np.full(len(at), i))
-                places.append(at)
-                hashes.append(h)
-                before.append(at - first)
-                around += [raw[f:e] for f, e in zip(first.tolist(), (at + WINDOW).tolist())]
-            h, doc = np.concatenate(hashes), pa.array(np.concatenate(doc))
-            hot = bitmap_has(hot_marks, hot_bits, h) if len(hot_marks) else np.zeros(len(h), bool)
+            doc, place, gram, before, around, key = chosen.of(part.column("text").to_pylist())
+            at = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(hot), part.column("id").take(doc), part.column("text_hash").take(doc),
-                 pa.array(np.concatenate(places), pa.int64()), pa.array(np.concatenate(before), pa.int32()), pa.array(around, pa.binary())],
-                ["gram", "hot", "id", "text_hash", "place", "before", "around"],
+                [pa.array(gram.view(np.int64)), pa.array(key.view(np.int64)), pa.array(before, pa.int32()), pa.array([len(a) for a in around], pa.int32()),
+                 part.column("id").take(at), part.column("text_hash").take(at), pa.array(place, pa.int64())],
+                ["gram", "key", "before", "length", "id", "text_hash", "place"],
             )
 
-    found = materialise(long_enough.select("id", "text_hash", "text").mapInArrow(suffixes, SUFFIXES), "suffix-suffixes")
-    leading = F.expr(f"substring(around, before + 1, {GRAM})")
+    found = materialise(long_enough.select("id", "text_hash", "text").mapInArrow(surroundings, ANCHORS), "suffix-anchors")
+    kinds = found.groupBy("gram", "key").agg(F.count("*").alias("n"), F.min("before").alias("before"), F.min("length").alias("length"))
+    kinds = materialise(kinds, "suffix-kinds")
+    whole = kinds.where((F.col("n") > 1) & (F.col("length") >= WINDOW)).select(
+        "key", (F.lit(_REACH) - F.col("before")).alias("lo"), (F.lit(_REACH - WINDOW) - F.col("before") + F.col("length")).alias("hi")
+    )
+    mixed = materialise(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("kinds > 1"), "suffix-mixed")
+    frequent = mixed.where(F.col("n") > hot_above)
+    n_mixed, n_hot = mixed.agg(F.count("*"), F.count(F.when(F.col("n") > hot_above, 1))).first()
+    mixed_bits, hot_bits = bitmap_bits(n_mixed), bitmap_bits(n_hot)
+    unsettled = spark.sparkContext.broadcast(bitmap_bytes(mixed, F.col("gram"), mixed_bits))
+    hot_marks = spark.sparkContext.broadcast(bitmap_bytes(frequent, F.col("gram"), hot_bits) if n_hot else b"")
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen, marks, sent = Chosen(unsettled.value, mixed_bits), np.frombuffer(hot_marks.value, np.uint8), set()
+        for part in row_slices(batches, 64):
+            _, _, gram, before, around, key = chosen.of(part.column("text").to_pylist())
+            if len(sent) > SEEN:
+                sent.clear()
+            new = []
+            for i, k in enumerate(key.tolist()):
+                if k not in sent:  # equal surroundings are settled already
+                    sent.add(k)
+                    new.append(i)
+            gram = gram[new]
+            hot = bitmap_has(marks, hot_bits, gram) if len(marks) else np.zeros(len(gram), bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram.view(np.int64)), pa.array(hot), pa.array(key[new].view(np.int64)), pa.array(before[new], pa.int32()), pa.array([around[i] for i in new], pa.binary())],
+                ["gram", "hot", "key", "before", "around"],
+            )
+
+    suffix = materialise(long_enough.select("text").mapInArrow(suffixes, SUFFIXES), "suffix-suffixes")
     # Sampled splitters over the leading bytes; gram settles a run's order
-    calm = found.where("not hot").withColumn("lead", leading)
+    calm = suffix.where("not hot").withColumn("lead", F.expr(f"substring(around, before + 1, {GRAM})"))
     calm = calm.repartitionByRange(F.col("lead")).sortWithinPartitions("lead", "gram").drop("lead", "hot")
-    out = calm.mapInArrow(_compare, "id long, text_hash long, first long, last long")
-    return out.unionByName(hot_intervals(found.where("hot"))) if n_hot else out
+    ranges = whole.unionByName(calm.mapInArrow(_compare, "key long, lo int, hi int"))
+    if n_hot:
+        ranges = ranges.unionByName(hot_ranges(suffix.where("hot")))
+    # All strings through an anchor overlap in its leading bytes, so what they cover is one interval
+    ranges = materialise(ranges.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "suffix-ranges")
+    start = F.col("place") - _REACH
+    return found.join(ranges, "key").select("id", "text_hash", (start + F.col("lo")).alias("first"), (start + F.col("hi") + WINDOW).alias("last"))
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -263,6 +301,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("text_hash"))
     spans = repeated_intervals(rows, hot_above).groupBy("id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = materialise(spans, "suffix-spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, 64):
