@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_slices
+from .common import bitmap_bits, bitmap_bytes, bitmap_has, materialise, row_slices
 
 SHINGLE = 3
 SEED = 42
@@ -66,6 +66,32 @@ def signatures(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place")).select((F.col("place") * F.lit(1 << 32) + rest).alias("signature"), "fp")
 
 
+#: Spreads the 64 wildcard positions over a bitmap.
+_SPREAD = 2654435769
+
+
+def _mark(signature: Column) -> Column:
+    return F.shiftright(signature, 32) * F.lit(_SPREAD) + signature.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _marked(fps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """signatures(fps) as far as they may be among the wanted ones, by a bitmap of fixed size, so that few rows are shuffled."""
+    bits = bitmap_bits(wanted.count())
+    marks = fps.sparkSession.sparkContext.broadcast(bitmap_bytes(wanted, _mark(F.col("signature")), bits))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, place = np.frombuffer(marks.value, np.uint8), np.arange(64, dtype=np.uint64)
+        bit, shift = np.uint64(1) << (place % np.uint64(32)), np.where(place < 32, 0, 32).astype(np.uint64)
+        for part in row_slices(batches, 4096):
+            fp = part.column(0).to_numpy().view(np.uint64)
+            rest = (fp[:, None] >> shift) & np.uint64(0xFFFFFFFF) & ~bit
+            row, col = np.nonzero(bitmap_has(seen, bits, place * np.uint64(_SPREAD) + rest))
+            signature = (place[col] << np.uint64(32)) + rest[row, col]
+            yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(fp[row].view(np.int64))], ["signature", "fp"])
+
+    return fps.mapInArrow(pick, "signature long, fp long")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b), a < b: edges whose components are those of all pairs of distinct fps within two bits."""
     indexed = signatures(fps)
@@ -73,7 +99,7 @@ def links(fps: DataFrame) -> DataFrame:
     buckets = materialise(buckets, "simhash-buckets")
     pairs = buckets.where((F.col("n") == 2) & (distance(F.col("a"), F.col("b")) <= MAX_BITS)).select("a", "b")
     crowded = buckets.where("n > 2").select("signature")
-    members = indexed.join(crowded, "signature", "left_semi").select("fp").distinct()
+    members = _marked(fps, crowded).join(crowded, "signature", "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0), *[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)])
     near = members.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("midpoint"), "fp")
     stars = near.groupBy("midpoint").agg(F.sort_array(F.collect_list("fp")).alias("all")).where("size(all) > 1")  # 65 at most
