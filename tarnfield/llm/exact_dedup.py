@@ -66,6 +66,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.max(F.struct("n_chars", F.bitwise_not("id").alias("not_id"), F.bitwise_not("row").alias("not_row")))
     groups = rows.where("full_hash is not null").groupBy("norm_len", "full_hash").agg(best.alias("best"), F.count("*").alias("size")).where("size > 1")
     groups = groups.select("norm_len", "full_hash", "size", F.bitwise_not("best.not_id").alias("best_id"), F.bitwise_not("best.not_row").alias("best_row"))
+    # Stored, so that the join below has plain shuffles on both sides, whose hot partitions can be split
+    groups = materialise(groups, "dedup-verdicts")
     out = rows.join(groups, ["norm_len", "full_hash"], "left")
     alone = F.col("size").isNull()
     return out.select(
