@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, materialise
 
 #: Smaller payloads are always written whole.
 MIN_REVISIT = 1000
@@ -40,6 +40,7 @@ def resolve(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     execution.
     """
     groups = pages.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = materialise(groups, "warc-groups")  # so that the join's shuffles are plain ones, whose hot partitions can be split
     joined = pages.join(groups, ["digest", "bytes"], "left")
     return joined.withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("response")), F.col("response"))).drop("response")
 
@@ -166,7 +167,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolved(found: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Records with each revisit's payload length taken from the response that has its digest."""
     originals = found.where((F.col("record_type") == "response") & (F.col("bytes") >= min_bytes))
-    originals = originals.groupBy("digest").agg(F.max("bytes").alias("full"), F.max("id").alias("original"))
+    originals = materialise(originals.groupBy("digest").agg(F.max("bytes").alias("full"), F.max("id").alias("original")), "warc-originals")
     revisits = found.where("record_type = 'revisit'").join(originals, "digest", "left").withColumn("bytes", F.col("full")).drop("full")
     return found.where("record_type = 'response'").withColumn("original", F.lit(None).cast("long")).unionByName(revisits)
 
