@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.json import as_map, kind
+from ..functions.json import canonical, kind
 from ..functions.values import base26
 
 MAX_KEYS = 2048
@@ -26,8 +26,7 @@ def key_frequency(df: DataFrame, v: str = "v", order: str = "line_no", max_depth
     counts = None
     for _ in range(max_depth):
         level = level.where(kind(F.col("v")).isin("OBJECT", "ARRAY"))
-        level.createOrReplaceTempView("_tarnfield_level")
-        below = df.sparkSession.sql("SELECT order, e.key AS key, e.value AS v FROM _tarnfield_level, LATERAL variant_explode(v) AS e")
+        below = level.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select("order", "key", F.col("value").alias("v"))
         here = below.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n"), F.min("order").alias("first_seen"))
         counts = here if counts is None else counts.unionByName(here)
         level = below.select("order", "v")
@@ -92,8 +91,6 @@ def rename_all(df: DataFrame, text: str, pairs: dict[str, str], out: str = "rena
 
 def encode_text(df: DataFrame, text: str, pairs: dict[str, str] | None = None, out: str = "encoded") -> DataFrame:
     """Parse, sort keys, rename, print compactly."""
-    from ..functions.json import canonical
-
     df = df.withColumn(out, canonical(F.col(text)))
     return rename_all(df, out, pairs, out) if pairs else df
 
@@ -101,5 +98,3 @@ def encode_text(df: DataFrame, text: str, pairs: dict[str, str] | None = None, o
 def decode_text(df: DataFrame, text: str, pairs: dict[str, str] | None = None, out: str = "decoded") -> DataFrame:
     return rename_all(df, text, inverted(pairs or {}), out) if pairs else df.withColumn(out, F.to_json(F.try_parse_json(text)))
 
-
-__all__ = ["as_map", "decode_text", "encode_text", "inverted", "key_frequency", "mapping_of", "rename_all", "rename_top", "train"]

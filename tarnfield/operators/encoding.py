@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json import is_integer_value, kind, text_of
-from ..functions.values import varint_bytes, zigzag
+from ..functions.values import unzigzag, varint_bytes, zigzag
 
 #: Enum candidates: longest value in characters, most distinct values.
 ENUM_CHARS = 16
@@ -34,9 +34,8 @@ def cells(df: DataFrame, *by: str, m: str = "m") -> DataFrame:
 def profile(long: DataFrame, *by: str) -> DataFrame:
     """Statistics of each key of cells(): counts, integer range, type tests, distinct short strings.
 
-    Distinct values are sets of at most ENUM_VALUES + 1 per task before the
-    shuffle would be ideal; the count of short distinct strings is exact here,
-    and combines map-side.
+    All combine map-side; of distinct strings only those short enough for an
+    enum are counted, so long values never travel.
     """
     v = F.col("value")
     k = kind(v)
@@ -87,8 +86,6 @@ def int_code(x: Column) -> Column:
 
 
 def int_decode(code: Column) -> Column:
-    from ..functions.values import unzigzag
-
     return F.when(code != 0, unzigzag(code - 1))
 
 

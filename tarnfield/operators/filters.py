@@ -14,16 +14,23 @@ def record_time(m: Column) -> Column:
     return time_of(or_else(lookup(m, "ts"), lookup(m, "timestamp")))
 
 
+def bound_ms(bound: str | int | None) -> Column | None:
+    """A bound in milliseconds: a number as it is, an ISO text parsed; None if there is none."""
+    if bound is None or bound == "":
+        return None
+    return F.lit(bound) if isinstance(bound, int) else epoch_ms(F.lit(bound))
+
+
 def in_range(ms: Column, since: str | int | None = None, until: str | int | None = None) -> Column:
     """since <= ms <= until; rows without a time stay; a bound that isn't a time is no bound.
 
-    Over a plain BIGINT column this is IS NULL OR BETWEEN, which a Parquet scan takes.
+    With numbers as bounds over a BIGINT column this is IS NULL OR BETWEEN,
+    which a Parquet scan takes; constant folding makes texts numbers, too.
     """
     test = F.lit(True)
-    for bound, op in ((since, "__ge__"), (until, "__le__")):
-        if bound is not None and bound != "":
-            limit = F.lit(bound) if isinstance(bound, int) else epoch_ms(F.lit(bound))
-            test = test & F.coalesce(getattr(ms, op)(limit), F.lit(True)) if not isinstance(bound, int) else test & (ms.isNull() | getattr(ms, op)(limit))
+    for limit, within in ((bound_ms(since), ms.__ge__), (bound_ms(until), ms.__le__)):
+        if limit is not None:
+            test = test & (ms.isNull() | limit.isNull() | within(limit))
     return test
 
 

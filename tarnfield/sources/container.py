@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.codecs import choose_auto, compress, decompress
+from ..operators.codecs import WINDOW_BYTES, choose_auto, compress, decompress
 
 # Fixed values of the format.
 MAGIC = b"JCO1"
@@ -300,31 +301,104 @@ def columnar_payload(lines: list[str]) -> bytes | None:
     return b"\n".join(out)
 
 
-def encode_lines(lines: list[str], codec: str = "brotli", columnar: bool = False) -> bytes:
-    """A container of lines; columnar output keeps records shape by shape, as the format has no line order."""
-    payload = columnar_payload(lines) if columnar else None
-    payload = "\n".join(lines).encode() if payload is None else payload
+def hybrid_body(payload: bytes) -> bytes:
+    """The smaller of one stream under the best codec, and windows each under its best."""
+    solid = min((compress(payload, c) for c in HYBRID_CODECS), key=len)
+    parts = []
+    for at in range(0, len(payload), WINDOW_BYTES):
+        raw = payload[at : at + WINDOW_BYTES]
+        size, which, data = min((len(d), i, d) for i, d in enumerate(compress(raw, c) for c in HYBRID_CODECS))
+        parts.append(struct.pack("<BII", which, len(raw), size) + data)
+    windows = HYBRID_MAGIC + struct.pack("<I", len(parts)) + b"".join(parts)
+    return windows if len(windows) < len(solid) else solid
+
+
+def packed(payload: bytes, codec: str, ndjson: bool, pairs: dict[str, str] | None = None) -> bytes:
+    """A container of a payload under a codec; pairs is the key dictionary it was renamed with."""
     name = choose_auto(payload) if codec == "auto" else codec
-    if name == "hybrid":
-        body = min((compress(payload, c) for c in HYBRID_CODECS), key=len)
-    else:
-        body = compress(payload, name)
-    header = {"version": VERSION, "codec": name, "createdAt": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.000Z"), "ndjson": True, "keyDictInline": False, "options": {}}
+    body = hybrid_body(payload) if name == "hybrid" else compress(payload, name)
+    header = {"version": VERSION, "codec": name, "createdAt": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.000Z"), "ndjson": ndjson, "keyDictInline": bool(pairs), "options": {}}
+    if pairs:
+        header["keyDict"] = {"forward": pairs, "inverse": {c: k for k, c in pairs.items()}}
     return seal(header, body)
 
 
-def read_containers(spark: SparkSession, path: str, fields: str | None = None) -> DataFrame:
-    """(file, line_no, raw) of containers; a broken one fails the query with its reason."""
+def renamed(text: str, pairs: dict[str, str], sort: bool = False) -> str:
+    value = json.loads(text, object_pairs_hook=lambda items: {pairs.get(k, k): x for k, x in (sorted(items) if sort else items)})
+    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+
+
+def encode_lines(lines: list[str], codec: str = "brotli", columnar: bool = False, pairs: dict[str, str] | None = None) -> bytes:
+    """A container of lines; columnar output keeps records shape by shape, as the format has no line order.
+
+    A key dictionary applies to row-wise lines only; malformed lines then raise.
+    """
+    payload = columnar_payload(lines) if columnar else None
+    if payload is not None:
+        return packed(payload, codec, True)
+    if pairs:
+        lines = [renamed(line, pairs) if line.strip() else line for line in lines]
+    return packed("\n".join(lines).encode(), codec, True, pairs)
+
+
+def encode_document(text: str, codec: str = "brotli", pairs: dict[str, str] | None = None) -> bytes:
+    """A container of one JSON document, keys sorted at every depth and then renamed."""
+    return packed(renamed(text, pairs or {}, sort=True).encode(), codec, False, pairs)
+
+
+def _reader(fields: str | None):
+    """A mapInArrow function from (file, content) to (file, line_no, raw)."""
     wanted = [f.strip() for f in fields.split(",") if f.strip()] if fields else None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 lines = list(container_lines(batch.column(1)[i].as_py(), wanted))
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(lines), pa.string()), pa.array(range(len(lines)), pa.int32()), pa.array(lines, pa.string())], ["file", "line_no", "raw"])
+                name = [batch.column(0)[i].as_py()] * len(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(range(len(lines)), pa.int32()), pa.array(lines, pa.string())], ["file", "line_no", "raw"])
+
+    return read
 
+
+LINES = "file string, line_no int, raw string"
+
+
+def read_containers(spark: SparkSession, path: str, fields: str | None = None) -> DataFrame:
+    """(file, line_no, raw) of containers; a broken one fails the query with its reason."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    return files.mapInArrow(read, "file string, line_no int, raw string")
+    return files.mapInArrow(_reader(fields), LINES)
+
+
+def follow_containers(spark: SparkSession, path: str, fields: str | None = None) -> DataFrame:
+    """As read_containers(), as a stream: each new container is read once."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).load(path).select(F.col("path").alias("file"), "content")
+    return files.mapInArrow(_reader(fields), LINES)
+
+
+def write_containers(boxes: DataFrame, uri: str) -> DataFrame:
+    """Writes (file, container) rows under a folder and returns (path, bytes) of what was written.
+
+    uri: a folder that the executors share, of any file system that Arrow
+    opens. Each file is written beside its place and moved there, so a task
+    that runs twice leaves one whole file.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(uri)
+        store.create_dir(top)
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                path = f"{top}/{name.rsplit('/', 1)[-1]}{SUFFIX}"
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as f:
+                    f.write(data)
+                store.move(part, path)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(data)], pa.int64())], ["path", "bytes"])
+
+    return boxes.select("file", "container").mapInArrow(write, "path string, bytes long")
 
 
 def containers(lines: DataFrame, codec: str = "brotli", columnar: bool = False) -> DataFrame:

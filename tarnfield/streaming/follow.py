@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.lines import classified
@@ -23,7 +24,11 @@ BUCKETS = 64
 
 
 def follow_lines(spark: SparkSession, path: str, files_per_batch: int | None = None, bytes_per_batch: str | None = None) -> DataFrame:
-    """A stream of classified lines: file, raw, v, is_record, line_kind. The limits are admission control per micro-batch."""
+    """A stream of classified lines: file, raw, v, is_record, line_kind.
+
+    The limits are admission control per micro-batch. The source takes each
+    file once, by path; a rotated log is a file with a new name.
+    """
     reader = spark.readStream.option("lineSep", "\n")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -80,3 +85,26 @@ def health(query: StreamingQuery) -> dict:
     """State of a running query: active, message, lines so far in the last batch, batch id."""
     last = query.lastProgress
     return {"active": query.isActive, "message": query.status["message"], "lines": last["numInputRows"] if last else 0, "batch": last["batchId"] if last else None}
+
+
+class LineCounter(StreamingQueryListener):
+    """Lines and batches so far, by query name or id; add it to spark.streams."""
+
+    def __init__(self) -> None:
+        self.lines: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.lines.setdefault(event.name or str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        key = p.name or str(p.id)
+        self.lines[key] = self.lines.get(key, 0) + p.numInputRows
+        self.batches[key] = p.batchId + 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
