@@ -169,21 +169,46 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct surroundings in, a row per string through the anchor out."""
-    rolling = Rolling(_REACH + WINDOW)
-    for part in row_slices(batches, 1024):
-        h = window_hashes(part.column("around").to_pylist(), part.column("before").to_numpy(), rolling)
-        at, col = np.nonzero(h >= np.uint64(part.num_rows))
-        yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(at)), pa.array(col, pa.int32()), pa.array(h[at, col].view(np.int64))], ["key", "col", "string_hash"])
+#: A string through an anchor has this many bytes before it, or GRAM + this many from it on.
+_SIDE = _REACH // 2
+
+
+def _windows(before_side: bool):
+    """A mapInArrow function: surroundings in, a row per string through the anchor out.
+
+    before_side: strings with _SIDE bytes or more before the anchor; else the others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, cols = Rolling(_REACH + WINDOW), np.arange(_REACH + 1)
+        wanted = cols <= _REACH - _SIDE if before_side else cols > _REACH - _SIDE
+        for part in row_slices(batches, 1024):
+            h = window_hashes(part.column("around").to_pylist(), part.column("before").to_numpy(), rolling)
+            at, col = np.nonzero((h >= np.uint64(part.num_rows)) & wanted)
+            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(at)), pa.array(col, pa.int32()), pa.array(h[at, col].view(np.int64))], ["key", "col", "string_hash"])
+
+    return run
 
 
 def hot_ranges(hot: DataFrame) -> DataFrame:
-    """(key, lo, hi) of suffixes whose leading bytes are very frequent, without any bucket of them."""
-    kinds = hot.groupBy("key").agg(F.first("before").alias("before"), F.first("around").alias("around"))
-    rows = materialise(kinds.mapInArrow(_windows, "key long, col int, string_hash long"), "suffix-windows")
+    """(key, lo, hi) of suffixes whose leading bytes are very frequent, without any bucket of them.
+
+    Every string through an anchor holds the _SIDE bytes before it or GRAM +
+    _SIDE bytes from it on, so only surroundings that share these with others
+    are expanded into strings.
+    """
+    kinds = hot.groupBy("key").agg(F.first("gram").alias("gram"), F.first("before").alias("before"), F.first("around").alias("around"))
+    left = F.when(F.col("before") >= _SIDE, F.xxhash64("gram", F.expr(f"substring(around, before + 1 - {_SIDE}, {_SIDE})")))
+    right = F.when(F.length("around") >= F.col("before") + GRAM + _SIDE, F.xxhash64("gram", F.expr(f"substring(around, before + 1, {GRAM + _SIDE})")))
+    kinds = materialise(kinds.withColumns({"left": left, "right": right}), "suffix-hot")
+    rows = None
+    for side in ("left", "right"):
+        shared = materialise(kinds.where(F.col(side).isNotNull()).groupBy(side).agg(F.count("*").alias("n")).where("n > 1").select(side), "suffix-sides")
+        part = kinds.join(shared, side, "left_semi").select("key", "before", "around").mapInArrow(_windows(side == "left"), "key long, col int, string_hash long")
+        rows = part if rows is None else rows.unionByName(part)
+    rows = materialise(rows, "suffix-windows")
     # A string meets its equals at the same place before their anchors; without col it would meet itself at another anchor
-    repeated = rows.groupBy("string_hash", "col").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = materialise(rows.groupBy("string_hash", "col").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "suffix-repeated")
     return rows.join(repeated, ["string_hash", "col"], "left_semi").groupBy("key").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
 
 
