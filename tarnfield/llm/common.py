@@ -75,6 +75,18 @@ def bitmap_rows(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     )
 
 
+def with_mark(df: DataFrame, key: Column, marks: DataFrame, bits: int, name: str) -> DataFrame:
+    """Adds name: whether the key may be in the filter that marks (bitmap_rows) holds.
+
+    marks has bits / 32768 rows of 4 KB at most, which bounds the broadcast.
+    """
+    df = df.withColumn("_at", key.bitwiseAND(F.lit(bits - 1)))
+    df = df.join(F.broadcast(marks), F.floor(df["_at"] / _BLOCK) == marks["block"], "left")
+    byte = F.conv(F.hex(F.substring("bits_set", ((F.col("_at") % _BLOCK) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1
+    return df.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_at", "block", "bits_set")
+
+
 def bitmap_bytes(keys: DataFrame, key: Column, bits: int) -> bytes:
     """The filter in one byte string of bits / 8 bytes, for Python workers."""
     out = bytearray(bits // 8)

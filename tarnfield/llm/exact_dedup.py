@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, _BLOCK, bitmap_bits, bitmap_rows, materialise
+from .common import SPACE, bitmap_bits, bitmap_rows, materialise, with_mark
 
 
 def normalised(text: Column) -> Column:
@@ -40,8 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = docs.select(F.length(norm).alias("norm_len"), F.xxhash64(F.left(norm, F.lit(prefix))).alias("prefix_hash"))
     shared = materialise(keys.groupBy("norm_len", "prefix_hash").count().where("count > 1").drop("count"), "dedup-groups")
     bits = bitmap_bits(shared.count())
-    # bits / 32768 rows of 4 KB: the bound on the broadcast
-    marks = F.broadcast(bitmap_rows(shared, F.xxhash64("norm_len", "prefix_hash"), bits))
+    marks = bitmap_rows(shared, F.xxhash64("norm_len", "prefix_hash"), bits)
 
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -49,15 +48,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         norm.alias("norm"),
         *[c.alias(f"carry_{name}") for name, c in (carry or {}).items()],
     )
-    rows = rows.withColumns({"norm_len": F.length("norm"), "at": F.xxhash64(F.length("norm"), F.xxhash64(F.left("norm", F.lit(prefix)))).bitwiseAND(F.lit(bits - 1))})
-    rows = rows.join(marks, F.floor(rows["at"] / _BLOCK) == marks["block"], "left")
-    byte = F.conv(F.hex(F.substring("bits_set", ((F.col("at") % _BLOCK) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    survives = F.coalesce(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1, F.lit(False))
+    rows = rows.withColumn("norm_len", F.length("norm"))
+    rows = with_mark(rows, F.xxhash64("norm_len", F.xxhash64(F.left("norm", F.lit(prefix)))), marks, bits, "survives")
     rows = rows.select(
         "id",
         "n_chars",
         "norm_len",
-        F.when(survives, F.sha2("norm", 256)).alias("full_hash"),
+        F.when(F.col("survives"), F.sha2("norm", 256)).alias("full_hash"),
         F.monotonically_increasing_id().alias("row"),
         *[f"carry_{name}" for name in carry or {}],
     )

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_bits, bitmap_bytes, bitmap_has, materialise, row_slices
+from .common import bitmap_bits, bitmap_bytes, bitmap_has, bitmap_rows, materialise, row_slices, with_mark
 
 WINDOW = 200
 GRAM = 64
@@ -340,5 +340,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([part.column("id"), *numbers, last], names)
 
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept"]
-    joined = rows.alias("d").join(spans.alias("s"), F.expr("d.id <=> s.id and d.text_hash = s.text_hash"), "left").select("d.id", "d.text", "s.spans")
-    return joined.mapInArrow(finish, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, {names[-1]} {'string' if digests else 'binary'}")
+    # Only texts that may have spans are shuffled to them; the others stay where they are read
+    bits = bitmap_bits(spans.count())
+    rows = with_mark(rows, F.col("text_hash"), bitmap_rows(spans, F.col("text_hash"), bits), bits, "touched")
+    joined = rows.where("touched").alias("d").join(spans.alias("s"), F.expr("d.id <=> s.id and d.text_hash = s.text_hash"), "left").select("d.id", "d.text", "s.spans")
+    untouched = rows.where("not touched").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return joined.unionByName(untouched).mapInArrow(finish, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, {names[-1]} {'string' if digests else 'binary'}")
