@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ MAX_WORDS = 60_000
 MAX_GRAMS = 30_000
 MAX_WORD_CHARS = 40
 #: Tokens that a task remembers.
-MEMO = 200_000
+MEMO = 300_000
 #: Weight of an unknown word's evidence.
 BACKOFF = 0.5
 ORDERS = (4, 3, 2, 1)
@@ -82,56 +83,103 @@ class Model:
             total = np.array([sum(counts[lang].values()) for lang in self.langs]) + 0.5 * max(1, len(index))
             self.tables.append((index, np.log(freq / total).astype(np.float32)))
 
-    def word(self, word: str) -> np.ndarray | None:
-        """Log score per language of one lower-case word; None without any known character."""
-        index, logs = self.tables[0]
-        if (i := index.get(word)) is not None:
-            return logs[i]
-        for order, (index, logs) in zip(ORDERS, self.tables[1:]):
-            if found := [index[g] for g in grams(word[:MAX_WORD_CHARS * 4], order) if g in index]:
-                return logs[found].mean(axis=0) * np.float32(BACKOFF)
-        return None
-
 
 class Scorer:
-    """Scores texts by tokens, remembering each token's evidence."""
+    """Scores texts by tokens, remembering each token's evidence.
+
+    Evidence is a row of: log scores per language, posteriors per language,
+    number of words. Known words' rows are made once; unknown ones of a slice of
+    texts together; a token of one word shares its word's row.
+    """
 
     def __init__(self, model: Model):
         self.model, self.n = model, len(model.langs)
+        self.known = model.tables[0][0] if self.n else {}
+        base = self._evidence(model.tables[0][1]) if self.n else np.zeros((0, 1), np.float32)
+        self.base = np.concatenate([np.zeros((1, base.shape[1]), np.float32), base])  # row 0: no evidence
         self.reset()
 
     def reset(self) -> None:
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((1024, 2 * self.n + 1), np.float32)
-
-    def add(self, token: str) -> int:
-        """Row of a token: per language the log scores and posteriors of its words, and their number."""
-        row, words = np.zeros(2 * self.n + 1, np.float32), 0
-        for w in _LETTERS.findall(token):
-            if (v := self.model.word(w)) is not None:
-                p = np.exp(v - v.max())
-                row[: self.n] += v
-                row[self.n : -1] += p / p.sum()
-                words += 1
-        row[-1] = words
-        if len(self.memo) == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[len(self.memo)] = row
-        self.memo[token] = len(self.memo)
-        return self.memo[token]
+        self.words: dict[str, int] = {}
+        self.rows, self.used = self.base, len(self.base)
+
+    def _evidence(self, logs: np.ndarray) -> np.ndarray:
+        p = np.exp(logs - logs.max(axis=1, keepdims=True)) if len(logs) else logs
+        p = p / p.sum(axis=1, keepdims=True)
+        return np.concatenate([logs, p, np.ones((len(logs), 1))], axis=1).astype(np.float32)
+
+    def _append(self, rows: np.ndarray) -> int:
+        """Stores rows and returns the first one's place."""
+        at = self.used
+        if at + len(rows) > len(self.rows):
+            room = np.zeros((max(len(self.rows) // 2, len(rows), 1024), self.rows.shape[1]), np.float32)
+            self.rows = np.concatenate([self.rows[:at], room])
+        self.rows[at : at + len(rows)] = rows
+        self.used += len(rows)
+        return at
+
+    def _unknown(self, words: list[str]) -> None:
+        """Backs off: a word's row is the mean over its known n-grams of the longest order that has any."""
+        for order, (index, logs) in zip(ORDERS, self.model.tables[1:]):
+            done, counts, flat = [], [], []
+            rest = []
+            for w in words:
+                found = [i for g in grams(w[: MAX_WORD_CHARS * 4], order) if (i := index.get(g)) is not None]
+                if found:
+                    done.append(w)
+                    counts.append(len(found))
+                    flat += found
+                else:
+                    rest.append(w)
+            if done:
+                sizes = np.array(counts)
+                sums = np.add.reduceat(logs[flat], np.cumsum(sizes) - sizes, axis=0)
+                at = self._append(self._evidence(sums / sizes[:, None] * BACKOFF))
+                self.words.update(zip(done, range(at, at + len(done))))
+            words = rest
+        self.words.update(dict.fromkeys(words, 0))  # no character that the model has seen
+
+    def learn(self, tokens: set[str]) -> None:
+        """Rows of tokens that aren't remembered yet."""
+        split = {t: _LETTERS.findall(t) for t in tokens}
+        known = self.known
+        self._unknown(list({w for ws in split.values() for w in ws if w not in known and w not in self.words}))
+        place = lambda w: known[w] + 1 if w in known else self.words[w]
+        several = []
+        for t, ws in split.items():
+            if len(ws) == 1:
+                self.memo[t] = place(ws[0])
+            elif ws:
+                several.append(t)
+            else:
+                self.memo[t] = 0
+        if several:
+            at = self._append(np.array([self.rows[[place(w) for w in split[t]]].sum(axis=0) for t in several]))
+            self.memo.update(zip(several, range(at, at + len(several))))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        lists = [t.lower().split() if t and self.n else [] for t in texts]
+        new = set(chain.from_iterable(lists)).difference(self.memo)
+        if new and len(self.memo) + len(new) > MEMO:
+            self.reset()
+            new = set(chain.from_iterable(lists))
+        self.learn(new)
+        return [self._verdict(t, tokens) for t, tokens in zip(texts, lists)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.n or not _has_letter(text):
+        return self.predict_all([text])[0]
+
+    def _verdict(self, text: str | None, tokens: list[str]) -> tuple[str, float]:
+        if not text or not self.n:
             return "und", 0.0
-        if len(self.memo) > MEMO:
-            self.reset()
-        get, tokens = self.memo.get, text.lower().split()
-        at = [i if (i := get(t)) is not None else self.add(t) for t in tokens]
+        at = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
         total = np.zeros(2 * self.n + 1)
         for k in range(0, len(at), 65536):
             total += self.rows[at[k : k + 65536]].sum(axis=0, dtype=np.float64)
-        if not total[-1]:
-            return self.model.langs[0], 1.0 / self.n  # letters that no language has shown
+        if not total[-1]:  # no letter, or none that any language has shown
+            return (self.model.langs[0], 1.0 / self.n) if _has_letter(text) else ("und", 0.0)
         best = int(np.argmax(total[: self.n]))
         return self.model.langs[best], float(min(1.0, max(0.0, total[self.n + best] / total[-1])))
 
@@ -154,7 +202,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # The sample bounds these groups
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= MAX_WORDS)
     langs = [r[0] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    return Model([tuple(r) for r in top.where(F.col("lang").isin(langs)).select("lang", "word", "n").collect()] if langs else [])
+    if not langs:
+        return Model([])
+    rows = top.where(F.col("lang").isin(langs)).select("lang", "word", "n").toArrow()  # at most MAX_LANGUAGES * MAX_WORDS
+    return Model(list(zip(*(rows.column(i).to_pylist() for i in range(3)))))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -171,7 +222,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for part in row_slices(batches):
-            found = [scorer.predict(t) for t in part.column(2).to_pylist()]
+            found = scorer.predict_all(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 [id_col, "held_out", "lang_pred", "score"],
@@ -190,7 +241,7 @@ def accepts(model, least: float, text_col: str = "text"):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for part in row_slices(batches):
-            found = [scorer.predict(t) for t in part.column(text_col).to_pylist()]
+            found = scorer.predict_all(part.column(text_col).to_pylist())
             yield part.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
     return keep
