@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_path
+from ..session import fresh_path, prepared
 
 #: The six ASCII white-space characters: space, tab, \n, \v, \f, \r.
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; reached through Spark's readers only."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
