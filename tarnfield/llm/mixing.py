@@ -121,5 +121,10 @@ def copies(mixed: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
 
 
 def in_training_order(df: DataFrame) -> DataFrame:
-    """Range partitions by position, sorted inside; rows that aren't taken last."""
-    return df.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last())
+    """Range partitions by position, sorted inside; rows that aren't taken last.
+
+    The latter share a null position; their place in the source spreads them
+    over partitions of their own.
+    """
+    keys = [F.col("position").asc_nulls_last(), *[F.col(c) for c in ("start",) if c in df.columns]]
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
