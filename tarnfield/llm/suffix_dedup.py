@@ -256,10 +256,11 @@ def repeated_intervals(docs: DataFrame, hot_above: int = HOT) -> DataFrame:
             )
 
     found = materialise(long_enough.select("id", "text_hash", "text").mapInArrow(surroundings, ANCHORS), "suffix-anchors")
-    kinds = found.groupBy("gram", "key").agg(F.count("*").alias("n"), F.min("before").alias("before"), F.min("length").alias("length"))
+    kinds = found.groupBy("gram", "key").agg(F.count("*").alias("n"), F.min(F.col("before") * 1024 + F.col("length")).alias("extent"))
+    kinds = kinds.select("gram", "key", "n", F.floor(F.col("extent") / 1024).alias("before"), (F.col("extent") % 1024).alias("length"))
     kinds = materialise(kinds, "suffix-kinds")
     whole = kinds.where((F.col("n") > 1) & (F.col("length") >= WINDOW)).select(
-        "key", (F.lit(_REACH) - F.col("before")).alias("lo"), (F.lit(_REACH - WINDOW) - F.col("before") + F.col("length")).alias("hi")
+        "key", (F.lit(_REACH) - F.col("before")).cast("int").alias("lo"), (F.lit(_REACH - WINDOW) - F.col("before") + F.col("length")).cast("int").alias("hi")
     )
     mixed = materialise(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("kinds > 1"), "suffix-mixed")
     frequent = mixed.where(F.col("n") > hot_above)
@@ -295,6 +296,9 @@ def repeated_intervals(docs: DataFrame, hot_above: int = HOT) -> DataFrame:
         ranges = ranges.unionByName(hot_ranges(suffix.where("hot")))
     # All strings through an anchor overlap in its leading bytes, so what they cover is one interval
     ranges = materialise(ranges.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "suffix-ranges")
+    # Anchors around which nothing repeats don't travel
+    range_bits = bitmap_bits(ranges.count(), per_row=8)
+    found = with_mark(found.select("key", "id", "text_hash", "place"), F.col("key"), bitmap_rows(ranges, F.col("key"), range_bits), range_bits, "ranged").where("ranged").drop("ranged")
     start = F.col("place") - _REACH
     return found.join(ranges, "key").select("id", "text_hash", (start + F.col("lo")).alias("first"), (start + F.col("hi") + WINDOW).alias("last"))
 
