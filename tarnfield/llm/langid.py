@@ -1,8 +1,9 @@
 """Language identification, words first, backing off to shorter n-grams.
 
 The model holds each language's most frequent words and the n-grams of these
-words. A known word adds its log frequency in each language; an unknown one
-adds the mean over its known 4-grams, else 3-grams, 2-grams, single characters.
+words and of runs too long to be words. A known word adds its log frequency in
+each language; an unknown one, whatever its length, adds the mean over its known
+4-grams, else 3-grams, 2-grams, single characters.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ TRAIN_DOCS = 20_000
 MAX_LANGUAGES = 200
 MAX_WORDS = 60_000
 MAX_GRAMS = 30_000
+#: Longer runs of letters are no words of the model; their n-grams count.
 MAX_WORD_CHARS = 40
+#: Letters of a run whose n-grams are held at a time.
+PIECE = 4096
 #: Tokens that a task remembers.
 MEMO = 300_000
 #: Weight of an unknown word's evidence.
@@ -40,47 +44,84 @@ def remainder(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 5
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_COUNTS = "lang string, order int, gram string, n long"
+
+
+def _counted(each: Iterator[Counter]) -> Iterator[pa.RecordBatch]:
+    """Sums of counts by (language, order, n-gram), handed on whenever there are many; order 0 is a word."""
     def flush() -> pa.RecordBatch:
-        pairs = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
+        langs, orders, names = zip(*counts) if counts else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(names, pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "order", "gram", "n"])
 
     counts: Counter = Counter()
-    for part in row_slices(batches):
-        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-            for word, n in Counter(_LETTERS.findall(text.lower())).items():
-                if len(word) <= MAX_WORD_CHARS:
-                    counts[lang, word] += n
+    for part in each:
+        counts.update(part)
         if len(counts) > MEMO:
             yield flush()
             counts.clear()
     yield flush()
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of texts, and n-grams of the runs that are too long for words."""
+    def each() -> Iterator[Counter]:
+        for part in row_slices(batches):
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                words = Counter(_LETTERS.findall(text.lower()))
+                yield Counter({(lang, 0, w): n for w, n in words.items() if len(w) <= MAX_WORD_CHARS})
+                for w, n in words.items():
+                    if len(w) > MAX_WORD_CHARS:
+                        for order in ORDERS:
+                            for piece in pieces(w, order):
+                                yield Counter({(lang, order, g): n * k for g, k in Counter(piece).items()})
+
+    return _counted(each())
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of counted words."""
+    def each() -> Iterator[Counter]:
+        for part in row_slices(batches):
+            found: Counter = Counter()
+            for lang, word, n in zip(*(part.column(c).to_pylist() for c in ("lang", "gram", "n"))):
+                for order in ORDERS:
+                    for g in grams(word, order):
+                        found[lang, order, g] += n
+            yield found
+
+    return _counted(each())
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"<{word}>" if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def pieces(word: str, n: int) -> Iterator[list[str]]:
+    """grams(word, n), a bounded number at a time."""
+    padded = f"<{word}>" if n > 1 else word
+    last = len(padded) - n + 1
+    for at in range(0, last, PIECE):
+        yield [padded[i : i + n] for i in range(at, min(at + PIECE, last))]
+
+
 class Model:
     """Log frequencies: rows of matrices, one column per language."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
-        self.langs = sorted({lang for lang, _, _ in rows})
+    def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
+        """rows: (language, order, n-gram, n), order 0 being words; totals: n of each language and order, left-out n-grams with it."""
+        self.langs = sorted({lang for lang, _, _, _ in rows})
         col = {lang: i for i, lang in enumerate(self.langs)}
+        kept: dict[int, list[tuple[str, str, int]]] = defaultdict(list)
+        for lang, order, g, n in rows:
+            kept[order].append((lang, g, n))
         self.tables: list[tuple[dict[str, int], np.ndarray]] = []
         for order in (0, *ORDERS):
-            counts: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-            for lang, word, n in rows:
-                for g in [word] if not order else grams(word, order):
-                    counts[lang][g] += n
-            kept = {lang: dict(Counter(c).most_common(MAX_GRAMS)) if order else c for lang, c in counts.items()}
-            index = {g: i for i, g in enumerate(sorted({g for c in kept.values() for g in c}))}
+            index = {g: i for i, g in enumerate(sorted({g for _, g, _ in kept[order]}))}
             freq = np.full((len(index), len(self.langs)), 0.5)
-            for lang, c in kept.items():
-                for g, n in c.items():
-                    freq[index[g], col[lang]] += n
-            total = np.array([sum(counts[lang].values()) for lang in self.langs]) + 0.5 * max(1, len(index))
+            for lang, g, n in kept[order]:
+                freq[index[g], col[lang]] += n
+            total = np.array([totals.get((lang, order), 0) for lang in self.langs]) + 0.5 * max(1, len(index))
             self.tables.append((index, np.log(freq / total).astype(np.float32)))
 
 
@@ -125,7 +166,18 @@ class Scorer:
             done, counts, flat = [], [], []
             rest = []
             for w in words:
-                found = [i for g in grams(w[: MAX_WORD_CHARS * 4], order) if (i := index.get(g)) is not None]
+                if len(w) > PIECE:
+                    n, total = 0, np.zeros(self.n)
+                    for piece in pieces(w, order):
+                        found = [i for g in piece if (i := index.get(g)) is not None]
+                        n += len(found)
+                        total += logs[found].sum(axis=0, dtype=np.float64)
+                    if n:
+                        self.words[w] = self._append(self._evidence(total[None] / n * BACKOFF))
+                    else:
+                        rest.append(w)
+                    continue
+                found = [i for g in grams(w, order) if (i := index.get(g)) is not None]
                 if found:
                     done.append(w)
                     counts.append(len(found))
@@ -197,15 +249,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     n = labelled.select(F.count(F.lit(1))).first()[0]
     parts = 1 << 20
     labelled = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) < math.ceil(parts * min(1.0, train_docs / max(1, n))))
-    counts = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, word string, n long")
-    counts = materialise(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
-    # The sample bounds these groups
-    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= MAX_WORDS)
+    counts = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, _COUNTS)
+    counts = materialise(counts.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")), "langid-words")
     langs = [r[0] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
     if not langs:
-        return Model([])
-    rows = top.where(F.col("lang").isin(langs)).select("lang", "word", "n").toArrow()  # at most MAX_LANGUAGES * MAX_WORDS
-    return Model(list(zip(*(rows.column(i).to_pylist() for i in range(3)))))
+        return Model([], {})
+    counts = counts.where(F.col("lang").isin(langs))
+    # The sample bounds these groups
+    place = F.row_number().over(Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram"))
+    words = materialise(counts.where("order = 0").withColumn("rank", place).where(F.col("rank") <= MAX_WORDS).drop("rank"), "langid-top")
+    found = words.mapInArrow(_count_grams, _COUNTS).unionByName(counts.where("order > 0"))
+    found = materialise(found.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")), "langid-grams").unionByName(words)
+    totals = {(r[0], r[1]): r[2] for r in found.groupBy("lang", "order").agg(F.sum("n")).collect()}
+    most = F.when(F.col("order") == 0, MAX_WORDS).otherwise(MAX_GRAMS)
+    rows = found.withColumn("rank", place).where(F.col("rank") <= most).select("lang", "order", "gram", "n").toArrow()  # bounded for each language
+    return Model(list(zip(*(rows.column(i).to_pylist() for i in range(4)))), totals)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:

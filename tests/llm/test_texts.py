@@ -170,3 +170,16 @@ def test_langid_edges(spark):
     unlabelled = [(i, t, None, s) for i, t, _, s in DOCS]
     assert {r.lang_pred for r in langid.identify(documents(spark, unlabelled)).collect()} == {"und"}
     assert langid.identify(documents(spark, [])).count() == 0
+
+
+def test_langid_long_runs(spark):
+    """Runs too long for words teach their n-grams, and are judged as a whole."""
+    rows = [(i, "".join("abcdef"[(i + j * j) % 6] for j in range(300)), "aa", "s") for i in range(20)]
+    rows += [(100 + i, "".join("uvwxyz"[(i + j * j) % 6] for j in range(300)), "zz", "s") for i in range(20)]
+    turned = rows[0][1][:170] + rows[20][1] * 40
+    rows += [(1000, turned, None, "s"), (1001, rows[0][1] + "u", None, "s")]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(documents(spark, rows)).collect()}
+    assert got[1000] == "zz" and got[1001] == "aa"
+    assert got[3] == "aa" and got[103] == "zz"
+    for order in langid.ORDERS:
+        assert [g for piece in langid.pieces(turned, order) for g in piece] == langid.grams(turned, order)
