@@ -4,7 +4,8 @@ One pass over the texts yields each document's counts and the hashes of its
 normalised lines; all else works on hashes. A line is above the limit when more
 than max(least_docs, share * host's documents) distinct documents of its host
 hold it. Such lines are removed, and a document that loses more than
-max_removed of its words is depleted and rejected.
+max_removed of its words is depleted and rejected. The text without these lines
+is an output of its own.
 """
 
 from __future__ import annotations
@@ -54,10 +55,20 @@ def text_stats(text: str) -> tuple[int, int, int, int, int, list[dict]]:
                 dup += 1
             else:
                 seen.add(line)
-            lines[xxhash.xxh64_intdigest(b" ".join(parts).lower())] += len(parts)
+            lines[line_hash(parts)] += len(parts)
     spaces, symbols = (sum(map(text.count, chars)) for chars in (SPACE, SYMBOLS))
-    signed = [{"hash": h - (1 << 64) if h >> 63 else h, "words": n} for h, n in lines.items()]
-    return len(words), len(text) - spaces, symbols, dup, repeat_words(words), signed
+    return len(words), len(text) - spaces, symbols, dup, repeat_words(words), [{"hash": h, "words": n} for h, n in lines.items()]
+
+
+def line_hash(parts: list[bytes]) -> int:
+    """Signed hash of a normalised line."""
+    h = xxhash.xxh64_intdigest(b" ".join(parts).lower())
+    return h - (1 << 64) if h >> 63 else h
+
+
+def without_lines(text: str, hashes: set[int]) -> str:
+    """The text without the lines of these hashes; other lines stay as they are."""
+    return "\n".join(line for line in text.split("\n") if not ((parts := line.encode().split()) and line_hash(parts) in hashes))
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,14 +82,16 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = 10, share: float = 0.01, max_removed: float = 0.5) -> DataFrame:
-    """One row per document: id, the counts, base_failed, kept, n_removed_words.
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = 10, share: float = 0.01, max_removed: float = 0.5, texts: bool = True) -> DataFrame:
+    """One row per document: id, the counts, base_failed, kept, n_removed_words, and with texts cleaned_text, without the removed lines.
 
-    Edge cases: null or empty text has no words and fails; a null host is a
+    Edge cases: null text stays null in cleaned_text; null or empty text has no words and fails; a null host is a
     host of its own; a line twice in one document counts it once; repeated rows
     are documents of their own; an empty table gives an empty result.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
+    if texts:
+        rows = materialise(rows, "quality-rows")  # row numbers that hold for the statistics and the texts
     stats = materialise(rows.mapInArrow(_stats, STATS), "quality-stats")
     limits = stats.groupBy("host").agg(F.greatest(F.lit(float(least_docs)), F.count("*") * F.lit(share)).alias("limit"))
     lines = stats.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.*")
@@ -89,12 +102,27 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     removed = (
         salted.alias("d").join(common.alias("c"), F.expr("d.host <=> c.host and d.hash = c.hash and d.salt = c.salt"))
-        .groupBy("d.row").agg(F.sum("d.words").alias("n_removed_words"))
+        .groupBy("d.row").agg(F.sum("d.words").alias("n_removed_words"), *([F.collect_set("d.hash").alias("hashes")] if texts else []))
     )
+    if texts:
+        removed = materialise(removed, "quality-removed")
     out = stats.drop("lines").join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     depleted = F.col("n_removed_words") > F.col("n_words") * F.lit(max_removed)
-    return out.select(
+    if texts:
+        out = out.join(rows.select("row", "text"), "row")
+    out = out.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_removed_words",
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_removed_words", *(["text", "hashes"] if texts else []),
     )
+    if not texts:
+        return out
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches):
+            pairs = zip(part.column("text").to_pylist(), part.column("hashes").to_pylist())
+            cleaned = [without_lines(t, set(hashes)) if t and hashes else t for t, hashes in pairs]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(cleaned, pa.string())], [*part.schema.names[:-2], "cleaned_text"])
+
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in out.dtypes[:-2])
+    return out.mapInArrow(clean, f"{kinds}, cleaned_text string")

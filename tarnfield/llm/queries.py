@@ -39,7 +39,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

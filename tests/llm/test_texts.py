@@ -183,3 +183,13 @@ def test_langid_long_runs(spark):
     assert got[3] == "aa" and got[103] == "zz"
     for order in langid.ORDERS:
         assert [g for piece in langid.pieces(turned, order) for g in piece] == langid.grams(turned, order)
+
+
+def test_quality_texts_lose_common_lines(spark):
+    body = lambda i: f"first {i}\n\n  own  {i}\tline "
+    rows = [(i, f"Common  Line\n{body(i)}\ncommon line", "en", "h" if i % 2 else None) for i in range(40)] + [(99, None, "en", "h"), (98, "Common line", "en", "other")]
+    got = {r.doc_id: r for r in quality.quality(documents(spark, rows)).collect()}
+    assert all(got[i].cleaned_text == body(i) and got[i].n_removed_words == 4 for i in range(40))
+    assert got[99].cleaned_text is None and got[98].cleaned_text == "Common line"
+    plain = quality.quality(documents(spark, rows), texts=False)
+    assert as_rows(plain) == as_rows(quality.quality(documents(spark, rows)).drop("cleaned_text"))
