@@ -167,6 +167,13 @@ def without_seen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.without_seen(rows, seen, "user_id").select("event_id", "user_id")
 
 
+@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100)")
+def without_error_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a set of seen keys from all events."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return filters.without_seen(rows, rows.where("event_type = 'error' AND value > 100"), "user_id").select("event_id", "user_id")
+
+
 # --- Lines and shapes ----------------------------------------------------------
 
 
@@ -388,6 +395,16 @@ def key_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("n"), V.base26(F.col("event_id")).alias("code"))
 
 
+_LETTERS = lambda n, before, letters: "concat(" + ", ".join(f"chr((97 + ({n} - {before}) // {26**p} % 26)::INTEGER)" for p in reversed(range(letters))) + ")"
+
+
+@query(f"""SELECT event_id AS n, CASE WHEN event_id < 26 THEN {_LETTERS("event_id", 0, 1)} WHEN event_id < 702 THEN {_LETTERS("event_id", 26, 2)}
+WHEN event_id < 18278 THEN {_LETTERS("event_id", 702, 3)} WHEN event_id < 475254 THEN {_LETTERS("event_id", 18278, 4)} END AS code FROM events""")
+def key_codes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all events, up to four letters."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), V.base26(F.col("event_id")).alias("code"))
+
+
 # --- Dictionary --------------------------------------------------------------------
 
 _FREQ = f"""WITH {REC}, k AS (
@@ -449,10 +466,12 @@ def codec_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def codec_window_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each 64 KB window's smallest codec, and the whole's majority."""
+    """Each 64 KB window's smallest codec, and beside it the whole's majority."""
     rows = event_text(spark, sf_dir).withColumn("part", F.floor(F.col("line_no") / 20_000))
     sized = codecs.window_sizes(codecs.byte_windows(rows, "raw", "part"), "raw", "part")
-    return codecs.smallest(sized, "part", "byte_window")
+    chosen = codecs.smallest(sized, "part", "byte_window")
+    whole = codecs.majority(chosen).select(F.col("codec").alias("majority"), F.col("n").alias("majority_n"), F.col("share").alias("majority_share"), "coalesce")
+    return chosen.crossJoin(F.broadcast(whole))  # one row
 
 
 @query(f"""WITH s AS (SELECT doc_id // 100 AS part, doc_id, strlen(text) AS n FROM documents)

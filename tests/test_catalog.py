@@ -56,3 +56,28 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_codec_choice_has_the_whole_majority(spark, sf_dir):
+    rows = QUERIES["codec_window_choice"](spark, sf_dir).collect()
+    n = {c: sum(r.codec == c for r in rows) for c in {r.codec for r in rows}}
+    top = max(n, key=lambda c: (n[c], c))
+    assert {(r.majority, r.majority_n, r.majority_share, r.coalesce) for r in rows} == {(top, n[top], n[top] / len(rows), n[top] / len(rows) >= 0.9)}
+
+
+def test_key_codes_of_up_to_four_letters(spark):
+    import itertools
+    import string
+
+    from pyspark.sql import functions as F
+
+    from tarnfield.functions import values as V
+
+    places = [0, 25, 26, 701, 702, 703, 18277, 18278, 18279, 100_000, 475_253]
+    want = {}
+    codes = ("".join(t) for k in range(1, 5) for t in itertools.product(string.ascii_lowercase, repeat=k))
+    for i, code in enumerate(codes):
+        if i in places:
+            want[i] = code
+    df = spark.createDataFrame([(i,) for i in places], "n long")
+    assert {r.n: r.code for r in df.select("n", V.base26(F.col("n")).alias("code")).collect()} == want
