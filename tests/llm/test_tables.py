@@ -281,6 +281,18 @@ def test_url_scores_follow_the_rules(spark):
     assert got[300].verdict == "block" and got[301].verdict == "allow"
 
 
+def test_url_counts_are_whole(spark):
+    """Rare and long words segment hosts as frequent ones do, and each token has its own count."""
+    long = "supercalifragilisticexpialidocious"
+    html = "casino poker win garden flower plant " * 50
+    rows = [(i, f"http://{long}poker{i % 9}.net/win/{i}", html) for i in range(60)] + [(100 + i, f"http://gardenflower{i % 9}.org/fr/plant/{i}", html) for i in range(60)]
+    rows += [(300, f"http://garden{long}{long}.info/", f"{long} " * 40), (301, "http://flowerplant.info/garden/1", html)]
+    whole = {r.page_id: r for r in url_filter.filter_urls(pages(spark, rows)).collect()}
+    assert whole[300].verdict == "block" and whole[301].verdict == "allow"
+    few = url_filter.filter_urls(pages(spark, rows), head_words=2).collect()
+    assert {r.page_id: (r.verdict, r.score) for r in few} == {i: (r.verdict, r.score) for i, r in whole.items()}
+
+
 # --- WARC --------------------------------------------------------------------
 
 
