@@ -95,12 +95,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], BASE.index(x[0])))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Matches that mod-97 confirms, up to the last group end at which it does; a match is short, so time stays linear."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        ends = [m.end(), *(i for i in range(m.end() - 1, m.start(), -1) if text[i] == " ")]
+        for end in ends:
+            if 15 <= len(bare := text[m.start() : end].replace(" ", "")) <= 34 and mod97(bare):
+                yield m.start(), end
+                at = end
+                break
+
+
 def further_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Confirmed or still to be scored candidates of the other kinds, none inside a base span."""
     out = []
-    for m in _IBAN.finditer(text):
-        if 15 <= len(bare := m[0].replace(" ", "")) <= 34 and mod97(bare):
-            out.append(("iban", *m.span()))
+    out += [("iban", *x) for x in ibans(text)]
     out += [("national_id", *m.span()) for m in _NATIONAL.finditer(text)]
     out += [("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
     return [x for x in out if not any(x[1] < e and s < x[2] for _, s, e in base)]

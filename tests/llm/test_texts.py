@@ -193,3 +193,12 @@ def test_quality_texts_lose_common_lines(spark):
     assert got[99].cleaned_text is None and got[98].cleaned_text == "Common line"
     plain = quality.quality(documents(spark, rows), texts=False)
     assert as_rows(plain) == as_rows(quality.quality(documents(spark, rows)).drop("cleaned_text"))
+
+
+def test_pii_iban_before_upper_case_words():
+    found = lambda text: [text[s:e] for k, s, e, _ in pii.find(text)[0] if k == "iban"]
+    assert found("IBAN DE89370400440532013000 BIC COBADEFFXXX") == ["DE89370400440532013000"]
+    assert found("DE89 3704 0044 0532 0130 00 EUR 250") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("DE89370400440532013000 GB82WEST12345698765432") == ["DE89370400440532013000", "GB82WEST12345698765432"]
+    assert found("DE88370400440532013000 BIC COBADEFFXXX") == []
+    pii.find("DE89 " * 40_000)  # in linear time
