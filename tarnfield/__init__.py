@@ -1 +1,8 @@
 """Queries over semi-structured records (JSON and newline-delimited JSON) on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
