@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_path, prepared
+from ..session import fresh_path
 
 #: The six ASCII white-space characters: space, tab, \n, \v, \f, \r.
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; reached through Spark's readers only."""
-    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -29,20 +30,68 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage, pins non-deterministic columns, and survives lost
     executors, as no block lives on one machine only.
     """
-    path = fresh_path(df.sparkSession, label)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.parquet(path, compression="zstd")
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    release(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Empties tables of materialise() that no later plan reads.
+
+    Through Spark's writer, as only that reaches every store; what a returned
+    plan still reads is left for the cluster to expire.
+    """
+    for df in stored:
+        spark = df.sparkSession
+        spark.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df._stored_at)
+    gc.collect()
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are done.
 
     Its cleaner works when the driver collects garbage, which an idle driver
-    heap may not do for long; until then finished stages fill the disks.
+    heap may not do for long; until then finished stages fill the disks. A
+    remote session has no such call and waits for the driver's own collections.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = getattr(getattr(spark, "_sc", None), "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Tasks that a wide step should have at least."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The batch function, handing free memory back to the system when a task ends.
+
+    Python workers are reused; what one operator's tables took would otherwise
+    stay with them beside the next operator's.
+    """
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return trimmed
+
+
+def signed(h: int) -> int:
+    """An unsigned 64-bit hash as a long."""
+    return h - (1 << 64) if h >> 63 else h
 
 
 def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -80,11 +129,28 @@ def with_mark(df: DataFrame, key: Column, marks: DataFrame, bits: int, name: str
 
     marks has bits / 32768 rows of 4 KB at most, which bounds the broadcast.
     """
-    df = df.withColumn("_at", key.bitwiseAND(F.lit(bits - 1)))
-    df = df.join(F.broadcast(marks), F.floor(df["_at"] / _BLOCK) == marks["block"], "left")
-    byte = F.conv(F.hex(F.substring("bits_set", ((F.col("_at") % _BLOCK) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1
-    return df.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_at", "block", "bits_set")
+    at = free_name(df.columns, "_at")
+    block, found = free_name(df.columns, "_block"), free_name(df.columns, "_bits_set")
+    df = df.withColumn(at, key.bitwiseAND(F.lit(bits - 1)))
+    df = df.join(F.broadcast(marks.toDF(block, found)), F.floor(df[at] / _BLOCK) == F.col(block), "left")
+    byte = F.conv(F.hex(F.substring(found, ((F.col(at) % _BLOCK) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, (F.col(at) % 8).cast("int")) == 1
+    return df.withColumn(name, F.coalesce(bit, F.lit(False))).drop(at, block, found)
+
+
+def split_by_mark(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not among keys, rows whose key may be); neither is shuffled. keys: a stored table."""
+    bits, name = bitmap_bits(keys.count()), free_name(df.columns, "_marked")
+    marked = with_mark(df, key, bitmap_rows(keys, keys_key, bits), bits, name)
+    return marked.where(~F.col(name)).drop(name), marked.where(F.col(name)).drop(name)
+
+
+def free_name(taken: list[str], wish: str) -> str:
+    """wish, with underscores before it until no column has that name."""
+    used = {name.lower() for name in taken}
+    while wish.lower() in used:
+        wish = f"_{wish}"
+    return wish
 
 
 def bitmap_bytes(keys: DataFrame, key: Column, bits: int) -> bytes:

@@ -1,39 +1,36 @@
 """Language identification, words first, backing off to shorter n-grams.
 
-The model holds each language's most frequent words and the n-grams of these
-words and of runs too long to be words. A known word adds its log frequency in
-each language; an unknown one, whatever its length, adds the mean over its known
-4-grams, else 3-grams, 2-grams, single characters.
+The model holds the words of labelled documents and the n-grams of these words.
+A known word adds its log frequency in each language; an unknown one, whatever
+its length, adds the mean over its known 4-grams, else 3-grams, 2-grams, single
+characters. Words and n-grams are 64-bit hashes in sorted arrays, so the model
+travels as a few flat buffers that Python workers map without copying.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_slices
-
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: Bounds of the model: labelled documents that it's fitted on (a hash picks
-#: them), languages, words and n-grams of each order per language.
-TRAIN_DOCS = 20_000
-MAX_LANGUAGES = 200
-MAX_WORDS = 60_000
-MAX_GRAMS = 30_000
-#: Longer runs of letters are no words of the model; their n-grams count.
-MAX_WORD_CHARS = 40
+from .common import lean, materialise, row_slices, signed
+
+_RUNS = re.compile(r"[^\W\d_]+")
+#: Bound of the model: labelled documents of each language that it's fitted on (a hash picks them). All their words and n-grams count.
+TRAIN_DOCS = 5_000
 #: Letters of a run whose n-grams are held at a time.
 PIECE = 4096
-#: Tokens that a task remembers.
-MEMO = 300_000
+#: Bytes of evidence that a task remembers.
+MEMO_BYTES = 24 << 20
+#: Counts that a task holds before it hands them on.
+HELD = 300_000
 #: Weight of an unknown word's evidence.
 BACKOFF = 0.5
 ORDERS = (4, 3, 2, 1)
@@ -44,52 +41,17 @@ def remainder(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 5
 
 
-_COUNTS = "lang string, order int, gram string, n long"
-
-
-def _counted(each: Iterator[Counter]) -> Iterator[pa.RecordBatch]:
-    """Sums of counts by (language, order, n-gram), handed on whenever there are many; order 0 is a word."""
-    def flush() -> pa.RecordBatch:
-        langs, orders, names = zip(*counts) if counts else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(names, pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "order", "gram", "n"])
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters; the pattern also takes numerals that are no digits, which are cut out."""
+    found = _RUNS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
-    counts: Counter = Counter()
-    for part in each:
-        counts.update(part)
-        if len(counts) > MEMO:
-            yield flush()
-            counts.clear()
-    yield flush()
 
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of texts, and n-grams of the runs that are too long for words."""
-    def each() -> Iterator[Counter]:
-        for part in row_slices(batches):
-            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                words = Counter(_LETTERS.findall(text.lower()))
-                yield Counter({(lang, 0, w): n for w, n in words.items() if len(w) <= MAX_WORD_CHARS})
-                for w, n in words.items():
-                    if len(w) > MAX_WORD_CHARS:
-                        for order in ORDERS:
-                            for piece in pieces(w, order):
-                                yield Counter({(lang, order, g): n * k for g, k in Counter(piece).items()})
-
-    return _counted(each())
-
-
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams of counted words."""
-    def each() -> Iterator[Counter]:
-        for part in row_slices(batches):
-            found: Counter = Counter()
-            for lang, word, n in zip(*(part.column(c).to_pylist() for c in ("lang", "gram", "n"))):
-                for order in ORDERS:
-                    for g in grams(word, order):
-                        found[lang, order, g] += n
-            yield found
-
-    return _counted(each())
+def gram_hash(gram: str, order: int) -> int:
+    """64 bits; order 0 is a word."""
+    return xxhash.xxh64_intdigest(gram, order)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -105,48 +67,106 @@ def pieces(word: str, n: int) -> Iterator[list[str]]:
         yield [padded[i : i + n] for i in range(at, min(at + PIECE, last))]
 
 
+_COUNTS = "lang string, order int, gram long, n long"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of words and n-grams by language, handed on whenever there are many."""
+    words: Counter = Counter()
+    found: Counter = Counter()
+
+    def spell() -> None:
+        for (lang, word), n in words.items():
+            found[lang, 0, gram_hash(word, 0)] += n
+            for order in ORDERS:
+                for piece in pieces(word, order):
+                    for g, k in Counter(piece).items():
+                        found[lang, order, gram_hash(g, order)] += n * k
+        words.clear()
+
+    def flush() -> pa.RecordBatch:
+        langs, orders, hashes = zip(*found) if found else ((), (), ())
+        columns = [pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(map(signed, hashes), pa.int64()), pa.array(found.values(), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "order", "gram", "n"])
+
+    for part in row_slices(batches):
+        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+            for word, n in Counter(letter_runs(text.lower())).items():
+                words[lang, word] += n
+        if len(words) > HELD // 4:
+            spell()
+        if len(found) > HELD:
+            yield flush()
+            found.clear()
+    spell()
+    yield flush()
+
+
 class Model:
-    """Log frequencies: rows of matrices, one column per language."""
-
-    def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
-        """rows: (language, order, n-gram, n), order 0 being words; totals: n of each language and order, left-out n-grams with it."""
-        self.langs = sorted({lang for lang, _, _, _ in rows})
-        col = {lang: i for i, lang in enumerate(self.langs)}
-        kept: dict[int, list[tuple[str, str, int]]] = defaultdict(list)
-        for lang, order, g, n in rows:
-            kept[order].append((lang, g, n))
-        self.tables: list[tuple[dict[str, int], np.ndarray]] = []
-        for order in (0, *ORDERS):
-            index = {g: i for i, g in enumerate(sorted({g for _, g, _ in kept[order]}))}
-            freq = np.full((len(index), len(self.langs)), 0.5)
-            for lang, g, n in kept[order]:
-                freq[index[g], col[lang]] += n
-            total = np.array([totals.get((lang, order), 0) for lang in self.langs]) + 0.5 * max(1, len(index))
-            self.tables.append((index, np.log(freq / total).astype(np.float32)))
+    """Log frequencies. For each order: sorted hashes, and of each hash its (language, log) pairs; other languages have the order's least."""
+
+    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, ...]]):
+        """tables, for (0, *ORDERS): hashes, first pair of each hash and the end, languages and logs of the pairs, least log of each language."""
+        self.langs, self.tables = langs, tables
+
+    @classmethod
+    def of(cls, lang: np.ndarray, order: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
+        """From count rows, one per language, order and hash."""
+        langs, col = np.unique(lang, return_inverse=True)
+        tables = []
+        for o in (0, *ORDERS):
+            at = np.flatnonzero(order == o)
+            at = at[np.lexsort((col[at], gram[at]))]
+            hashes, first = np.unique(gram[at], return_index=True)
+            total = np.bincount(col[at], n[at], len(langs)) + 0.5 * max(1, len(hashes))
+            logs = np.log((n[at] + 0.5) / total[col[at]])
+            tables.append((hashes, np.append(first, len(at)).astype(np.int64), col[at].astype(np.int16), logs.astype(np.float32), np.log(0.5 / total).astype(np.float32)))
+        return cls(langs.tolist(), tables)
+
+    def rows(self, table: int, places: np.ndarray) -> np.ndarray:
+        """Log frequencies of the table's hashes at these places, a column per language."""
+        _, first, cols, logs, least = self.tables[table]
+        out = np.tile(least, (len(places), 1))
+        sizes = first[places + 1] - first[places]
+        row = np.repeat(np.arange(len(places)), sizes)
+        pair = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[places], sizes)
+        out[row, cols[pair]] = logs[pair]
+        return out
+
+    def find(self, table: int, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes, -1 for unknown ones."""
+        known = self.tables[table][0]
+        if not len(known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, at, -1)
+
+    def packed(self) -> tuple[list[str], list[tuple[np.ndarray, ...]]]:
+        """What Model(*...) takes; plain values, so that any worker can read them."""
+        return self.langs, self.tables
 
 
 class Scorer:
     """Scores texts by tokens, remembering each token's evidence.
 
     Evidence is a row of: log scores per language, posteriors per language,
-    number of words. Known words' rows are made once; unknown ones of a slice of
-    texts together; a token of one word shares its word's row.
+    number of words. New words of a slice of texts are looked up together; a
+    token of one word shares its word's row.
     """
 
     def __init__(self, model: Model):
         self.model, self.n = model, len(model.langs)
-        self.known = model.tables[0][0] if self.n else {}
-        base = self._evidence(model.tables[0][1]) if self.n else np.zeros((0, 1), np.float32)
-        self.base = np.concatenate([np.zeros((1, base.shape[1]), np.float32), base])  # row 0: no evidence
+        self.width = 2 * self.n + 1
+        self.most = max(4096, MEMO_BYTES // (4 * self.width))
         self.reset()
 
     def reset(self) -> None:
         self.memo: dict[str, int] = {}
         self.words: dict[str, int] = {}
-        self.rows, self.used = self.base, len(self.base)
+        self.rows, self.used = np.zeros((4096, self.width), np.float32), 1  # row 0: no evidence
 
     def _evidence(self, logs: np.ndarray) -> np.ndarray:
-        p = np.exp(logs - logs.max(axis=1, keepdims=True)) if len(logs) else logs
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
         p = p / p.sum(axis=1, keepdims=True)
         return np.concatenate([logs, p, np.ones((len(logs), 1))], axis=1).astype(np.float32)
 
@@ -154,67 +174,81 @@ class Scorer:
         """Stores rows and returns the first one's place."""
         at = self.used
         if at + len(rows) > len(self.rows):
-            room = np.zeros((max(len(self.rows) // 2, len(rows), 1024), self.rows.shape[1]), np.float32)
+            room = np.zeros((max(len(self.rows) // 2, len(rows)), self.width), np.float32)
             self.rows = np.concatenate([self.rows[:at], room])
         self.rows[at : at + len(rows)] = rows
         self.used += len(rows)
         return at
 
-    def _unknown(self, words: list[str]) -> None:
-        """Backs off: a word's row is the mean over its known n-grams of the longest order that has any."""
-        for order, (index, logs) in zip(ORDERS, self.model.tables[1:]):
-            done, counts, flat = [], [], []
-            rest = []
-            for w in words:
-                if len(w) > PIECE:
-                    n, total = 0, np.zeros(self.n)
-                    for piece in pieces(w, order):
-                        found = [i for g in piece if (i := index.get(g)) is not None]
-                        n += len(found)
-                        total += logs[found].sum(axis=0, dtype=np.float64)
-                    if n:
-                        self.words[w] = self._append(self._evidence(total[None] / n * BACKOFF))
-                    else:
-                        rest.append(w)
+    def _learn_words(self, words: list[str]) -> None:
+        """Known words' rows; the others back off to the mean over their known n-grams of the longest order that has any."""
+        hashes = np.fromiter((gram_hash(w, 0) for w in words), np.uint64, len(words))
+        place = self.model.find(0, hashes)
+        hit = np.flatnonzero(place >= 0)
+        at = self._append(self._evidence(self.model.rows(0, place[hit]))) if len(hit) else 0
+        self.words.update(zip((words[i] for i in hit.tolist()), range(at, at + len(hit))))
+        rest = [words[i] for i in np.flatnonzero(place < 0).tolist()]
+        for table, order in enumerate(ORDERS, 1):
+            short, again = [], []
+            for w in rest:
+                if len(w) <= PIECE:
+                    short.append(w)
                     continue
-                found = [i for g in grams(w, order) if (i := index.get(g)) is not None]
-                if found:
-                    done.append(w)
-                    counts.append(len(found))
-                    flat += found
+                n, total = 0, np.zeros(self.n)
+                for piece in pieces(w, order):
+                    found = self.model.find(table, np.fromiter((gram_hash(g, order) for g in piece), np.uint64, len(piece)))
+                    found = found[found >= 0]
+                    n += len(found)
+                    total += self.model.rows(table, found).sum(axis=0, dtype=np.float64)
+                if n:
+                    self.words[w] = self._append(self._evidence(total[None] / n * BACKOFF))
                 else:
-                    rest.append(w)
-            if done:
-                sizes = np.array(counts)
-                sums = np.add.reduceat(logs[flat], np.cumsum(sizes) - sizes, axis=0)
-                at = self._append(self._evidence(sums / sizes[:, None] * BACKOFF))
-                self.words.update(zip(done, range(at, at + len(done))))
-            words = rest
-        self.words.update(dict.fromkeys(words, 0))  # no character that the model has seen
+                    again.append(w)
+            if short:
+                each = [grams(w, order) for w in short]
+                flat = list(chain.from_iterable(each))
+                names = {g: i for i, g in enumerate(dict.fromkeys(flat))}
+                found = self.model.find(table, np.fromiter((gram_hash(g, order) for g in names), np.uint64, len(names)))
+                known = found >= 0
+                logs = np.zeros((len(names), self.n + 1))
+                logs[known, : self.n], logs[known, self.n] = self.model.rows(table, found[known]), 1
+                sizes = np.fromiter(map(len, each), np.int64, len(each))
+                filled = np.flatnonzero(sizes)
+                sums = np.zeros((len(each), self.n + 1))
+                if len(filled):
+                    index = np.fromiter(map(names.__getitem__, flat), np.int64, len(flat))
+                    sums[filled] = np.add.reduceat(logs[index], (np.cumsum(sizes) - sizes)[filled], axis=0)
+                done = np.flatnonzero(sums[:, self.n])
+                if len(done):
+                    at = self._append(self._evidence(sums[done, : self.n] / sums[done, self.n :] * BACKOFF))
+                    self.words.update(zip((short[i] for i in done.tolist()), range(at, at + len(done))))
+                again += [short[i] for i in np.flatnonzero(sums[:, self.n] == 0).tolist()]
+            rest = again
+        self.words.update(dict.fromkeys(rest, 0))  # no character that the model has seen
 
     def learn(self, tokens: set[str]) -> None:
         """Rows of tokens that aren't remembered yet."""
-        split = {t: _LETTERS.findall(t) for t in tokens}
-        known = self.known
-        self._unknown(list({w for ws in split.values() for w in ws if w not in known and w not in self.words}))
-        place = lambda w: known[w] + 1 if w in known else self.words[w]
+        split = {t: letter_runs(t) for t in tokens}
+        new = list({w for ws in split.values() for w in ws}.difference(self.words))
+        for at in range(0, len(new), 8192):
+            self._learn_words(new[at : at + 8192])
         several = []
         for t, ws in split.items():
             if len(ws) == 1:
-                self.memo[t] = place(ws[0])
+                self.memo[t] = self.words[ws[0]]
             elif ws:
                 several.append(t)
             else:
                 self.memo[t] = 0
         if several:
-            at = self._append(np.array([self.rows[[place(w) for w in split[t]]].sum(axis=0) for t in several]))
+            at = self._append(np.array([self.rows[[self.words[w] for w in split[t]]].sum(axis=0) for t in several]))
             self.memo.update(zip(several, range(at, at + len(several))))
 
     def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text."""
         lists = [t.lower().split() if t and self.n else [] for t in texts]
         new = set(chain.from_iterable(lists)).difference(self.memo)
-        if new and len(self.memo) + len(new) > MEMO:
+        if new and self.used + len(new) > self.most:
             self.reset()
             new = set(chain.from_iterable(lists))
         self.learn(new)
@@ -227,43 +261,32 @@ class Scorer:
         if not text or not self.n:
             return "und", 0.0
         at = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
-        total = np.zeros(2 * self.n + 1)
+        total = np.zeros(self.width)
         for k in range(0, len(at), 65536):
             total += self.rows[at[k : k + 65536]].sum(axis=0, dtype=np.float64)
         if not total[-1]:  # no letter, or none that any language has shown
-            return (self.model.langs[0], 1.0 / self.n) if _has_letter(text) else ("und", 0.0)
+            return (self.model.langs[0], 1.0 / self.n) if any(map(str.isalpha, text)) else ("und", 0.0)
         best = int(np.argmax(total[: self.n]))
         return self.model.langs[best], float(min(1.0, max(0.0, total[self.n + best] / total[-1])))
 
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def _has_letter(text: str) -> bool:
-    return any(m[0].isalpha() for m in _LETTER.finditer(text))
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
-    """A model of the labelled documents that aren't held out; of these a hash picks about train_docs."""
+    """A model of the labelled documents that aren't held out; of each language a hash picks about train_docs, or all if there are fewer."""
     labelled = docs.where((remainder(F.col(id_col)) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = labelled.select(F.count(F.lit(1))).first()[0]
-    parts = 1 << 20
-    labelled = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) < math.ceil(parts * min(1.0, train_docs / max(1, n))))
-    counts = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, _COUNTS)
-    counts = materialise(counts.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")), "langid-words")
-    langs = [r[0] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not langs:
-        return Model([], {})
-    counts = counts.where(F.col("lang").isin(langs))
-    # The sample bounds these groups
-    place = F.row_number().over(Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram"))
-    words = materialise(counts.where("order = 0").withColumn("rank", place).where(F.col("rank") <= MAX_WORDS).drop("rank"), "langid-top")
-    found = words.mapInArrow(_count_grams, _COUNTS).unionByName(counts.where("order > 0"))
-    found = materialise(found.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")), "langid-grams").unionByName(words)
-    totals = {(r[0], r[1]): r[2] for r in found.groupBy("lang", "order").agg(F.sum("n")).collect()}
-    most = F.when(F.col("order") == 0, MAX_WORDS).otherwise(MAX_GRAMS)
-    rows = found.withColumn("rank", place).where(F.col("rank") <= most).select("lang", "order", "gram", "n").toArrow()  # bounded for each language
-    return Model(list(zip(*(rows.column(i).to_pylist() for i in range(4)))), totals)
+    labelled = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    parts = 1 << 30
+    shares = labelled.groupBy("lang").agg(F.ceil(F.lit(float(parts * train_docs)) / F.count(F.lit(1))).alias("share"))  # a row per language
+    sample = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(parts)) < F.col("share")).select("lang", "text")
+    counts = sample.mapInArrow(lean(_count), _COUNTS).groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    rows = materialise(counts, "langid-counts").toArrow()  # the sample bounds it
+    if not rows.num_rows:
+        return Model([], [])
+    lang = rows.column("lang").combine_chunks().dictionary_encode()
+    names = np.array(lang.dictionary.to_pylist(), dtype=object)
+    place = np.argsort(np.argsort(names))  # languages in order
+    codes = place[lang.indices.to_numpy()]
+    model = Model.of(codes, rows.column("order").to_numpy(), rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy())
+    return Model(sorted(names.tolist()), model.tables)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -271,14 +294,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     score is the mean posterior of the predicted language over the text's
     words. Predictions see the text alone. Edge cases: null text, or text
-    without a letter, is `und` with score 0; without labelled documents all are
-    `und`; a null id is neither held out nor learned from; repeated rows give
-    repeated results; an empty table gives an empty result.
+    without a letter, is `und` with score 0; a text whose letters no language
+    has shown is of the first language, with an even score; without labelled
+    documents all are `und`; very long texts and runs are scored whole, a
+    bounded number of n-grams at a time; equal evidence goes to the first
+    language by name; a null id is neither held out nor learned from; repeated
+    rows give repeated results; an empty table gives an empty result; other
+    columns, whatever their names, are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, train_docs))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, train_docs).packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        scorer = Scorer(Model(*model.value))
         for part in row_slices(batches):
             found = scorer.predict_all(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -287,19 +314,24 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             )
 
     held = F.coalesce(remainder(F.col(id_col)) == 0, F.lit(False)).alias("held_out")
-    return docs.select(F.col(id_col).cast("long"), held, F.col(text_col)).mapInArrow(run, f"`{id_col}` long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long"), held, F.col(text_col)).mapInArrow(lean(run), f"`{id_col}` long, held_out boolean, lang_pred string, score double")
+
+
+def least_score(languages: int) -> float:
+    """A score little above what chance gives among so many languages: a fifth above an even share, one half at most."""
+    return min(0.5, 1.2 / max(1, languages))
 
 
 def accepts(model, least: float, text_col: str = "text"):
     """A mapInArrow function that keeps whole rows whose text is of a language with at least this score.
 
-    model: the broadcast model. Rows pass in small slices; no column changes.
+    model: the broadcast of Model.packed(). Rows pass in small slices; no column changes.
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        scorer = Scorer(Model(*model.value))
         for part in row_slices(batches):
             found = scorer.predict_all(part.column(text_col).to_pylist())
             yield part.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
-    return keep
+    return lean(keep)

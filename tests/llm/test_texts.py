@@ -172,6 +172,63 @@ def test_langid_edges(spark):
     assert langid.identify(documents(spark, [])).count() == 0
 
 
+def test_langid_needs_a_letter(spark):
+    """Numerals that the letter pattern takes are no letters, also if the model has seen them."""
+    rows = [(i, f"words of some text {i} ½ ² Ⅷ", "en", "s") for i in range(20)] + [(100, "½ ²", None, "s"), (101, "Ⅷ ½a", None, "s")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(documents(spark, rows)).collect()}
+    assert got[100] == ("und", 0.0) and got[101][0] == "en"
+    assert langid.letter_runs("a½b ²") == ["a", "b"]
+
+
+def test_langid_learns_every_language(spark):
+    """A sample of a few documents of each language, however many languages and however rare."""
+    rows = [(i, f"alpha{i % 7} common words", "aa", "s") for i in range(600)]
+    code = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:03}")
+    rows += [(1000 + 10 * k + j, f"wort{code(k)} seltene{code(k)} rede{code(k)}", f"l{k:03}", "s") for k in range(230) for j in range(4)]
+    rows += [(9000, f"wort{code(229)} rede{code(229)}", None, "s"), (9001, f"seltene{code(7)}", None, "s")]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(documents(spark, rows), train_docs=20).collect()}
+    assert got[9000] == "l229" and got[9001] == "l007" and got[3] == "aa"
+
+
+def plain_prediction(rows, text):
+    """The scorer as a plain sum over words, from the counts of all rows."""
+    import math
+    from collections import Counter
+
+    langs = sorted({lang for lang, _ in rows})
+    counts = {o: {lang: Counter() for lang in langs} for o in (0, *langid.ORDERS)}
+    for lang, t in rows:
+        for w in langid.letter_runs(t.lower()):
+            counts[0][lang][w] += 1
+            for o in langid.ORDERS:
+                counts[o][lang].update(langid.grams(w, o))
+    known = {o: set().union(*c.values()) for o, c in counts.items()}
+    log = lambda o, lang, g: math.log((counts[o][lang][g] + 0.5) / (sum(counts[o][lang].values()) + 0.5 * len(known[o])))
+    total, post, n = dict.fromkeys(langs, 0.0), dict.fromkeys(langs, 0.0), 0
+    for w in langid.letter_runs(text.lower()):
+        logs = [log(0, lang, w) for lang in langs] if w in known[0] else None
+        for o in langid.ORDERS:
+            if logs is None and (seen := [g for g in langid.grams(w, o) if g in known[o]]):
+                logs = [langid.BACKOFF * sum(log(o, lang, g) for g in seen) / len(seen) for lang in langs]
+        if logs:
+            n += 1
+            for lang, x in zip(langs, logs):
+                total[lang] += x
+                post[lang] += math.exp(x - max(logs)) / sum(math.exp(y - max(logs)) for y in logs)
+    best = max(langs, key=total.get)
+    return (best, post[best] / n) if n else ("und", 0.0)
+
+
+def test_langid_as_a_plain_scorer(spark, sf_dir):
+    docs = all_docs(spark, sf_dir)
+    rows = [(r.lang, r.text) for r in docs.collect() if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for r in docs.collect()[::9]:
+        if r.text and any(map(str.isalpha, r.text)):
+            lang, score = plain_prediction(rows, r.text)
+            assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=1e-3)
+
+
 def test_langid_long_runs(spark):
     """Runs too long for words teach their n-grams, and are judged as a whole."""
     rows = [(i, "".join("abcdef"[(i + j * j) % 6] for j in range(300)), "aa", "s") for i in range(20)]
