@@ -22,6 +22,11 @@ anchor whose leading GRAM bytes repeat.
    over all tasks.
 5. What is repeated around an anchor goes back to all anchors with these
    surroundings, and from there to their documents, which cut the bytes out.
+
+Strings are compared by hashes: leading bytes and surroundings, which bring
+ranges to anchors, by 64 bits each and both together; whole strings inside a
+run or at one offset by 64 bits. Tables are emptied as soon as nothing reads
+them, and each large shuffle is done with before the next one starts.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_bits, bitmap_bytes, bitmap_has, bitmap_rows, materialise, row_slices, with_mark
+from .common import bitmap_bits, bitmap_bytes, bitmap_has, bitmap_rows, discard, lean, materialise, row_slices, split_by_mark, with_mark
 
 WINDOW = 200
 GRAM = 64
@@ -150,8 +155,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = window_hashes(rows.column("around").to_pylist(), rows.column("before").to_numpy(), rolling)
         hit, lo, hi = repeated_range(h)
         at = np.flatnonzero(hit)
-        keys = rows.column("key").combine_chunks().take(pa.array(at))
-        return pa.RecordBatch.from_arrays([keys, pa.array(lo[at], pa.int32()), pa.array(hi[at], pa.int32())], ["key", "lo", "hi"])
+        grams, keys = (rows.column(c).combine_chunks().take(pa.array(at)) for c in ("gram", "key"))
+        return pa.RecordBatch.from_arrays([grams, keys, pa.array(lo[at], pa.int32()), pa.array(hi[at], pa.int32())], ["gram", "key", "lo", "hi"])
 
     held: pa.Table | None = None
     for batch in batches:
@@ -185,31 +190,35 @@ def _windows(before_side: bool):
         for part in row_slices(batches, 1024):
             h = window_hashes(part.column("around").to_pylist(), part.column("before").to_numpy(), rolling)
             at, col = np.nonzero((h >= np.uint64(part.num_rows)) & wanted)
-            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(at)), pa.array(col, pa.int32()), pa.array(h[at, col].view(np.int64))], ["key", "col", "string_hash"])
+            yield pa.RecordBatch.from_arrays([part.column("kind").take(pa.array(at)), pa.array(col, pa.int32()), pa.array(h[at, col].view(np.int64))], ["kind", "col", "string_hash"])
 
     return run
 
 
 def hot_ranges(hot: DataFrame) -> DataFrame:
-    """(key, lo, hi) of suffixes whose leading bytes are very frequent, without any bucket of them.
+    """(gram, key, lo, hi) of suffixes whose leading bytes are very frequent, without any bucket of them; a stored table.
 
     Every string through an anchor holds the _SIDE bytes before it or GRAM +
     _SIDE bytes from it on, so only surroundings that share these with others
     are expanded into strings.
     """
-    kinds = hot.groupBy("key").agg(F.first("gram").alias("gram"), F.first("before").alias("before"), F.first("around").alias("around"))
+    kinds = hot.groupBy("gram", "key").agg(F.first("before").alias("before"), F.first("around").alias("around"))
     left = F.when(F.col("before") >= _SIDE, F.xxhash64("gram", F.expr(f"substring(around, before + 1 - {_SIDE}, {_SIDE})")))
     right = F.when(F.length("around") >= F.col("before") + GRAM + _SIDE, F.xxhash64("gram", F.expr(f"substring(around, before + 1, {GRAM + _SIDE})")))
-    kinds = materialise(kinds.withColumns({"left": left, "right": right}), "suffix-hot")
+    kinds = materialise(kinds.withColumns({"left": left, "right": right, "kind": F.monotonically_increasing_id()}), "suffix-hot")
     rows = None
     for side in ("left", "right"):
         shared = materialise(kinds.where(F.col(side).isNotNull()).groupBy(side).agg(F.count("*").alias("n")).where("n > 1").select(side), "suffix-sides")
-        part = kinds.join(shared, side, "left_semi").select("key", "before", "around").mapInArrow(_windows(side == "left"), "key long, col int, string_hash long")
+        part = kinds.join(shared, side, "left_semi").select("kind", "before", "around").mapInArrow(lean(_windows(side == "left")), "kind long, col int, string_hash long")
         rows = part if rows is None else rows.unionByName(part)
     rows = materialise(rows, "suffix-windows")
     # A string meets its equals at the same place before their anchors; without col it would meet itself at another anchor
     repeated = materialise(rows.groupBy("string_hash", "col").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "suffix-repeated")
-    return rows.join(repeated, ["string_hash", "col"], "left_semi").groupBy("key").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
+    _, maybe = split_by_mark(rows, F.col("string_hash"), repeated, F.col("string_hash"))
+    found = maybe.join(repeated, ["string_hash", "col"], "left_semi").groupBy("kind").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
+    out = materialise(kinds.select("kind", "gram", "key").join(found, "kind").drop("kind"), "suffix-hot-ranges")
+    discard(kinds, rows, repeated)
+    return out
 
 
 class Chosen:
@@ -235,11 +244,11 @@ class Chosen:
         return doc, place, gram, before, around, key
 
 
-def repeated_intervals(docs: DataFrame, hot_above: int = HOT) -> DataFrame:
-    """docs (id, text, text_hash) -> (id, text_hash, first, last): byte intervals covered by repeated strings."""
+def repeated_intervals(docs: DataFrame, hot_above: int = HOT) -> tuple[DataFrame, list[DataFrame]]:
+    """docs (id, text, text_hash) -> (id, text_hash, first, last): byte intervals covered by repeated strings; and the stored tables that these read."""
     spark = docs.sparkSession
     long_enough = docs.where(F.octet_length("text") >= WINDOW)
-    grams = long_enough.select("text").mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    grams = long_enough.select("text").mapInArrow(lean(_grams), "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     grams = materialise(grams, "suffix-grams")
     bits = bitmap_bits(grams.count())
     seen = spark.sparkContext.broadcast(bitmap_bytes(grams, F.col("gram"), bits))
@@ -255,12 +264,14 @@ def repeated_intervals(docs: DataFrame, hot_above: int = HOT) -> DataFrame:
                 ["gram", "key", "before", "length", "id", "text_hash", "place"],
             )
 
-    found = materialise(long_enough.select("id", "text_hash", "text").mapInArrow(surroundings, ANCHORS), "suffix-anchors")
+    found = materialise(long_enough.select("id", "text_hash", "text").mapInArrow(lean(surroundings), ANCHORS), "suffix-anchors")
     kinds = found.groupBy("gram", "key").agg(F.count("*").alias("n"), F.min(F.col("before") * 1024 + F.col("length")).alias("extent"))
     kinds = kinds.select("gram", "key", "n", F.floor(F.col("extent") / 1024).alias("before"), (F.col("extent") % 1024).alias("length"))
     kinds = materialise(kinds, "suffix-kinds")
+    seen.destroy()
+    discard(grams)
     whole = kinds.where((F.col("n") > 1) & (F.col("length") >= WINDOW)).select(
-        "key", (F.lit(_REACH) - F.col("before")).cast("int").alias("lo"), (F.lit(_REACH - WINDOW) - F.col("before") + F.col("length")).cast("int").alias("hi")
+        "gram", "key", (F.lit(_REACH) - F.col("before")).cast("int").alias("lo"), (F.lit(_REACH - WINDOW) - F.col("before") + F.col("length")).cast("int").alias("hi")
     )
     mixed = materialise(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("kinds > 1"), "suffix-mixed")
     frequent = mixed.where(F.col("n") > hot_above)
@@ -287,20 +298,29 @@ def repeated_intervals(docs: DataFrame, hot_above: int = HOT) -> DataFrame:
                 ["gram", "hot", "key", "before", "around"],
             )
 
-    suffix = materialise(long_enough.select("text").mapInArrow(suffixes, SUFFIXES), "suffix-suffixes")
+    suffix = materialise(long_enough.select("text").mapInArrow(lean(suffixes), SUFFIXES), "suffix-suffixes")
+    unsettled.destroy()
+    hot_marks.destroy()
+    discard(mixed)
     # Sampled splitters over the leading bytes; gram settles a run's order
     calm = suffix.where("not hot").withColumn("lead", F.expr(f"substring(around, before + 1, {GRAM})"))
     calm = calm.repartitionByRange(F.col("lead")).sortWithinPartitions("lead", "gram").drop("lead", "hot")
-    ranges = whole.unionByName(calm.mapInArrow(_compare, "key long, lo int, hi int"))
+    parts = [materialise(calm.mapInArrow(lean(_compare), "gram long, key long, lo int, hi int"), "suffix-calm-ranges")]
     if n_hot:
-        ranges = ranges.unionByName(hot_ranges(suffix.where("hot")))
+        parts.append(hot_ranges(suffix.where("hot")))
+    discard(suffix)
+    ranges = whole
+    for part in parts:
+        ranges = ranges.unionByName(part)
     # All strings through an anchor overlap in its leading bytes, so what they cover is one interval
-    ranges = materialise(ranges.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "suffix-ranges")
+    ranges = materialise(ranges.groupBy("gram", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "suffix-ranges")
+    discard(kinds, *parts)
     # Anchors around which nothing repeats don't travel
     range_bits = bitmap_bits(ranges.count(), per_row=8)
-    found = with_mark(found.select("key", "id", "text_hash", "place"), F.col("key"), bitmap_rows(ranges, F.col("key"), range_bits), range_bits, "ranged").where("ranged").drop("ranged")
+    found_rows = with_mark(found.select("gram", "key", "id", "text_hash", "place"), F.col("key"), bitmap_rows(ranges, F.col("key"), range_bits), range_bits, "ranged").where("ranged").drop("ranged")
     start = F.col("place") - _REACH
-    return found.join(ranges, "key").select("id", "text_hash", (start + F.col("lo")).alias("first"), (start + F.col("hi") + WINDOW).alias("last"))
+    intervals = found_rows.join(ranges, ["gram", "key"]).select("id", "text_hash", (start + F.col("lo")).alias("first"), (start + F.col("hi") + WINDOW).alias("last"))
+    return intervals, [found, ranges]
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -324,13 +344,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removed is each byte covered by a string of WINDOW bytes that also starts
     anywhere else, judged on the input; all copies go, the first included.
-    Edge cases: null text is empty; texts below WINDOW bytes stay whole; two
-    rows with equal text remove each other, also if their ids are equal or
-    null; an empty table gives an empty result; other columns are ignored.
+    Edge cases: null text is empty; texts below WINDOW bytes stay whole; very
+    long texts are read in overlapping chunks; two rows with equal text remove
+    each other, also if their ids are equal or null; an empty table gives an
+    empty result; other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("text_hash"))
-    spans = repeated_intervals(rows, hot_above).groupBy("id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    spans = materialise(spans, "suffix-spans")
+    intervals, read = repeated_intervals(rows, hot_above)
+    spans = materialise(intervals.groupBy("id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "suffix-spans")
+    discard(*read)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, 64):
@@ -349,4 +371,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = with_mark(rows, F.col("text_hash"), bitmap_rows(spans, F.col("text_hash"), bits), bits, "touched")
     joined = rows.where("touched").alias("d").join(spans.alias("s"), F.expr("d.id <=> s.id and d.text_hash = s.text_hash"), "left").select("d.id", "d.text", "s.spans")
     untouched = rows.where("not touched").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    return joined.unionByName(untouched).mapInArrow(finish, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, {names[-1]} {'string' if digests else 'binary'}")
+    return joined.unionByName(untouched).mapInArrow(lean(finish), f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, {names[-1]} {'string' if digests else 'binary'}")
