@@ -258,4 +258,37 @@ def test_pii_iban_before_upper_case_words():
     assert found("DE89 3704 0044 0532 0130 00 EUR 250") == ["DE89 3704 0044 0532 0130 00"]
     assert found("DE89370400440532013000 GB82WEST12345698765432") == ["DE89370400440532013000", "GB82WEST12345698765432"]
     assert found("DE88370400440532013000 BIC COBADEFFXXX") == []
+    assert found("iban gb82 west 1234 5698 7654 32 is mine, IBAN GB82 WEST 1234 5698 7654 32 IS MINE") == ["gb82 west 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32"]
+    assert found("GB82 WEST 1234 5698 7654 321, ZZ82 WEST 1234 5698 7654 32") == []
     pii.find("DE89 " * 40_000)  # in linear time
+
+
+def test_pii_secrets():
+    found = lambda text: [text[s:e] for k, s, e, _ in pii.find(text)[0] if k == "secret"]
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for text in (f'a token = "{key}" b', f"API_KEY: {key}", f"password={key}, x", f"Authorization: secret_key => '{key}'", f"TOKEN = {key.upper()}!!"):
+        assert [x.strip("!,").lower() for x in found(text)] == [key], text
+    assert found("-----BEGIN RSA PRIVATE KEY-----\nabc") == ["-----BEGIN RSA PRIVATE KEY-----"]
+    assert found("AKIA" + "A1" * 8) == ["AKIA" + "A1" * 8]
+    assert found("the token = something else, a token of 12345678 and secret: aaaaaaaa1") == []
+    assert found(f"a placeholder token = {key}") == [] or pii.score(f"placeholder {key}", "secret", 12, 52) == pytest.approx(0.5)
+
+
+def test_pii_many_spans_in_linear_time():
+    import time
+
+    text = lambda n: "x@example.org phone 555-123-4567, " * n
+    began = time.perf_counter()
+    few = pii.find(text(1000))
+    middle = time.perf_counter()
+    many = pii.find(text(8000))
+    assert len(many[0]) == 8 * len(few[0]) and len(many[1]) == 8000
+    assert time.perf_counter() - middle < 24 * (middle - began) + 1
+
+
+def test_pii_no_further_span_over_a_base_one():
+    text = "ip 10.0.0.1 token = a1b2c3d4@mail.example.org end; iban DE89370400440532013000"
+    spans, base = pii.find(text)
+    for k, s, e, _ in spans:
+        assert (k, s, e) in base or not any(s < y and x < e for _, x, y in base)
+    assert [k for k, *_ in spans] == ["ip", "email", "iban"]
