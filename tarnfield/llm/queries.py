@@ -30,12 +30,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in pii.BASE]
     scores = F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["score"])), ",")
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), scores.alias("scores"))
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), scores.alias("scores"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "start")
+    return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "start", "position")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,9 @@ WITH sized AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rnk
   FROM sized GROUP BY source
 ), weighed AS (
-  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(rnk - 1) % 3 + 1] AS weight, source_size * 3.0::DOUBLE AS cap FROM sums
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(rnk - 1) % 3 + 1] AS weight, [1.5::DOUBLE, 1.0::DOUBLE, 0.5::DOUBLE][(rnk - 1) % 3 + 1] AS ramp,
+    source_size * 3.0::DOUBLE AS cap
+  FROM sums
 ), filling AS (
   SELECT *, cap / weight AS ratio, (sum(source_size) OVER ())::DOUBLE AS total FROM weighed
 ), levels AS (
@@ -91,18 +93,22 @@ WITH sized AS (
       / sum(weight) OVER (ORDER BY ratio, rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM filling
 ), targets AS (
-  SELECT source, source_size, least(cap, weight * max(CASE WHEN level <= ratio THEN level END) OVER ()) AS target FROM levels
+  SELECT source, source_size, ramp, least(cap, weight * max(CASE WHEN level <= ratio THEN level END) OVER ()) AS target FROM levels
 ), placed AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, size, source_size, target, ramp,
     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY ord, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target,
+), counted AS (
+SELECT doc_id, size, source_size, target, ramp,
   (greatest(0, least(size, floor(target)::BIGINT - start))
    + greatest(0, least(size, floor(target)::BIGINT - source_size - start))
    + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken,
-  start
+  start, start::DOUBLE / target AS q
 FROM placed
+)
+SELECT doc_id, size, source_size, target, taken, start,
+  CASE WHEN taken > 0 THEN 2.0::DOUBLE * q / (ramp + sqrt(ramp * ramp + 4.0::DOUBLE * (1.0::DOUBLE - ramp) * q)) END AS position
+FROM counted
 """
 
 OP4_SQL = r"""
