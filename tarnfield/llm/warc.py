@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise
+from .common import fresh_path, lean, materialise
 
 #: Smaller payloads are always written whole.
 MIN_REVISIT = 1000
-#: Records in one archive file at most, so that a reader holds little at a time.
-FILE_RECORDS = 2000
+#: Payload bytes in one archive file at most, but for single larger payloads, so that a reader holds little at a time.
+FILE_BYTES = 128 << 20
+#: Payloads up to LEAST_CLASS bytes are the first size class; each further one goes up to CLASS_STEP times that.
+LEAST_CLASS, CLASS_STEP, LAST_CLASS = 64 << 10, 8, 4
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
@@ -77,10 +79,26 @@ def prepared(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
 
 
+def size_class(size: Column) -> Column:
+    out = F.lit(LAST_CLASS)
+    for k in reversed(range(LAST_CLASS)):
+        out = F.when(size <= LEAST_CLASS * CLASS_STEP**k, k).otherwise(out)
+    return out
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT) -> None:
-    """Writes deduplicated archives with fresh headers: one record per row of prepared()."""
-    records = resolve(pages, min_bytes).select(record(F.col("refers_to").isNotNull()).alias("value"))
-    records.write.option("maxRecordsPerFile", FILE_RECORDS).text(path, compression="gzip", lineSep=CRLF)
+    """Writes deduplicated archives with fresh headers: one record per row of prepared().
+
+    Spark's writers count records, not bytes, so each size class has files of
+    its own, of as many records as FILE_BYTES hold of its largest.
+    """
+    sized = size_class(F.col("bytes"))
+    classes = sorted(r[0] for r in pages.select(sized).distinct().collect())
+    linked = resolve(pages, min_bytes)
+    for k in classes:
+        most = max(1, FILE_BYTES // (LEAST_CLASS * CLASS_STEP**k)) if k < LAST_CLASS else 1
+        records = linked.where(sized == k).select(record(F.col("refers_to").isNotNull()).alias("value"))
+        records.write.mode("append").option("maxRecordsPerFile", most).text(path, compression="gzip", lineSep=CRLF)
 
 
 class BadRecord(ValueError):
@@ -161,15 +179,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: id, record_type, digest, bytes (null for revisits), refers_to, url."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(_read, "id long, record_type string, digest string, bytes long, refers_to long, url string")
+    return files.select("content").mapInArrow(lean(_read), "id long, record_type string, digest string, bytes long, refers_to long, url string")
 
 
 def resolved(found: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """Records with each revisit's payload length taken from the response that has its digest."""
+    """Records with each revisit's payload length taken from the response that has its digest, which must be the one that it names."""
     originals = found.where((F.col("record_type") == "response") & (F.col("bytes") >= min_bytes))
     originals = materialise(originals.groupBy("digest").agg(F.max("bytes").alias("full"), F.max("id").alias("original")), "warc-originals")
-    revisits = found.where("record_type = 'revisit'").join(originals, "digest", "left").withColumn("bytes", F.col("full")).drop("full")
-    return found.where("record_type = 'response'").withColumn("original", F.lit(None).cast("long")).unionByName(revisits)
+    revisits = found.where("record_type = 'revisit'").join(originals, "digest", "left")
+    wrong = F.raise_error(F.concat(F.lit("a revisit names no response with its payload: "), F.coalesce("digest", F.lit("no digest"))))
+    revisits = revisits.withColumns({"bytes": F.col("full"), "refers_to": F.when(F.col("refers_to") == F.col("original"), F.col("refers_to")).otherwise(wrong.cast("long"))})
+    return found.where("record_type = 'response'").unionByName(revisits.select(found.columns))
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None, min_bytes: int = MIN_REVISIT) -> DataFrame:
@@ -178,11 +198,15 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Columns: id, payload_bytes, payload_digest, record_type, refers_to. Edge
     cases: null html is an empty payload; a null url has no target header; a
     null id is never the response while another row has the payload; rows that
-    repeat the response's id and payload are responses too; an empty table
-    gives an empty result; other columns are ignored.
+    repeat the response's id and payload are responses too, with its record id;
+    very long payloads are records in files of their own; an empty table gives
+    an empty result; other columns, whatever their names, are ignored.
     """
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
-    write_archives(prepared(pages, id_col, url_col, html_col), path, min_bytes)
+    rows = prepared(pages, id_col, url_col, html_col)
+    write_archives(rows, path, min_bytes)
+    if not rows.limit(1).count():
+        return spark.createDataFrame([], f"`{id_col}` long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     rows = resolved(read_archives(spark, path), min_bytes)
     return rows.select(F.col("id").alias(id_col), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
