@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_slices
+from .common import lean, materialise, row_slices
 
 #: Code points with the Unicode property White_Space.
 _SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -36,19 +36,27 @@ TABLE_CHARS = 48
 MEMO_WORDS = 200_000
 
 
-def top_words(counts: DataFrame, rows: int) -> DataFrame:
-    """(word, n) rows with the largest n, at most so many; ties at the border stay out.
+def top_words(counts: DataFrame, rows: int, bins: int = 1024) -> DataFrame:
+    """(word, n) rows with the largest n, at most so many; ties at the border stay out, so the choice is always the same.
 
-    A histogram of the counts gives the border, so nothing is sorted as a whole.
+    Histograms of a bounded number of bins close in on the border, so nothing
+    is sorted as a whole.
     """
-    steps = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).collect()
-    total, least = 0, 1
-    for n, words in sorted(steps, reverse=True):
-        total += words
-        if total > rows:
-            least = n + 1
-            break
-    return counts.where(F.col("n") >= least).limit(rows)
+    low, high, above = 1, (counts.agg(F.max("n")).first()[0] or 0) + 1, 0  # above: words with n >= high
+    while low < high:
+        step = -(-(high - low) // bins)
+        at = F.floor((F.col("n") - low) / step)
+        found = counts.where((F.col("n") >= low) & (F.col("n") < high)).groupBy(at.alias("bin")).count().collect()
+        for k, words in sorted(found, reverse=True):
+            if above + words > rows:
+                low, high = low + k * step, min(high, low + (k + 1) * step)
+                break
+            above += words
+        else:
+            high = low
+        if step == 1 and low < high:
+            low = high
+    return counts.where(F.col("n") >= low)
 
 
 def counted(words_of, batches: Iterator[pa.RecordBatch], most: int = MEMO_WORDS) -> Iterator[pa.RecordBatch]:
