@@ -9,47 +9,45 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.json import canonical, kind
+from ..functions.json import canonical
 from ..functions.values import base26
 
 MAX_KEYS = 2048
-MAX_DEPTH = 64
+#: Codes of up to four letters.
+MAX_CODES = 26 + 26**2 + 26**3 + 26**4
+#: A JSON string, and whether it's a key: in compact text only keys have a colon right behind.
+_STRINGS = r'("(?:[^"\\]|\\.)*+":?)'
 
 
-def key_frequency(df: DataFrame, v: str = "v", order: str = "line_no", max_depth: int = MAX_DEPTH) -> DataFrame:
+def key_frequency(df: DataFrame, v: str = "v", order: str = "line_no") -> DataFrame:
     """key, n, first_seen (least order): occurrences at every depth, through arrays.
 
-    Goes down level by level in the JVM; each level is counted before the
-    shuffle. Stops at the first level without objects or arrays.
+    One pass in the JVM, whatever the depth: the keys are those strings of the
+    value's compact text that a colon follows. They're counted before the
+    shuffle.
     """
-    level = df.select(F.col(order).alias("order"), F.col(v).alias("v"))
-    counts = None
-    for _ in range(max_depth):
-        level = level.where(kind(F.col("v")).isin("OBJECT", "ARRAY"))
-        below = level.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select("order", "key", F.col("value").alias("v"))
-        here = below.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n"), F.min("order").alias("first_seen"))
-        counts = here if counts is None else counts.unionByName(here)
-        level = below.select("order", "v")
-        if not level.where(kind(F.col("v")).isin("OBJECT", "ARRAY")).limit(1).count():
-            break
-    return counts.groupBy("key").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"))
+    strings = F.regexp_extract_all(F.to_json(v), F.lit(_STRINGS), F.lit(1))
+    quoted = F.transform(F.filter(strings, lambda s: s.endswith(":")), lambda s: F.left(s, F.length(s) - 1))
+    rows = df.select(F.col(order).alias("order"), F.explode(quoted).alias("quoted"))
+    counts = rows.groupBy("quoted").agg(F.count("*").alias("n"), F.min("order").alias("first_seen"))
+    key = F.try_variant_get(F.try_parse_json("quoted"), "$", "string")
+    return counts.groupBy(key.alias("key")).agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"))
 
 
 def train(frequency: DataFrame, max_keys: int = MAX_KEYS) -> DataFrame:
     """key, code, n: the most frequent keys (ties: first seen, then key) with codes a..z, aa..., in that order.
 
     Codes that are themselves keys of the data are left out, so renaming can
-    be undone.
+    be undone; there are enough others, as each key is a clash once at most.
     """
-    top = frequency.orderBy(F.desc("n"), "first_seen", "key").limit(max_keys)
-    ranked = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first_seen", "key")))  # max_keys rows
-    spark = frequency.sparkSession
-    # As many spare codes as there are keys short enough to be one
+    if not 0 < max_keys <= 26**3:
+        raise ValueError(f"max_keys must be 1 to {26**3}")
+    first = (F.desc("n"), "first_seen", "key")
+    ranked = frequency.orderBy(*first).limit(max_keys).withColumn("place", F.row_number().over(Window.orderBy(*first)))  # max_keys rows
     clashes = frequency.where(F.col("key").rlike("^[a-z]{1,4}$")).select(F.col("key").alias("code"))
-    spare = min(clashes.count(), 26**3)
-    codes = spark.range(max_keys + spare).select("id", base26(F.col("id")).alias("code")).join(clashes, "code", "left_anti")
-    codes = codes.withColumn("place", F.row_number().over(Window.orderBy("id")))
-    return ranked.join(codes, "place").select("key", "code", "n")
+    codes = frequency.sparkSession.range(MAX_CODES).select("id", base26(F.col("id")).alias("code")).join(clashes, "code", "left_anti")
+    codes = codes.orderBy("id").limit(max_keys).withColumn("place", F.row_number().over(Window.orderBy("id")))
+    return ranked.join(codes, "place", "left").select("key", F.coalesce("code", F.raise_error(F.lit("the data's own keys leave too few codes")).cast("string")).alias("code"), "n")
 
 
 def rename_top(m: Column, mapping: Column) -> Column:

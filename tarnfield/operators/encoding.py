@@ -145,10 +145,31 @@ def expand_runs(runs: DataFrame, *by: str) -> DataFrame:
     return placed.select(*by, F.explode(F.sequence("_start", F.col("_start") + F.col("length") - 1)).alias("place"), "value")
 
 
-def dictionary(df: DataFrame, x: str, *by: str) -> DataFrame:
-    """by..., value, id: distinct values in binary order, numbered from 0. Distinct before the sort."""
+#: Splitters of an ungrouped dictionary's values.
+SPLITTERS = 64
+
+
+def dictionary(df: DataFrame, x: str, *by: str, splitters: int = SPLITTERS) -> DataFrame:
+    """by..., value, id: distinct values in binary order, numbered from 0. Distinct before the sort.
+
+    A group's values are sorted in one task. Without groups, a hash picks some
+    values as splitters, and each range between them is sorted by itself and
+    numbered from the counts of the ranges before; a column of fewer values
+    than splitters is one range.
+    """
     values = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("value")).distinct()
-    return values.withColumn("id", F.row_number().over(Window.partitionBy(*by).orderBy("value")) - 1)
+    inside = Window.partitionBy(*by).orderBy("value")
+    if by or df.isStreaming:
+        return values.withColumn("id", F.row_number().over(inside) - 1)
+    picked = sorted((r[0] for r in values.orderBy(F.xxhash64("value"), "value").limit(splitters).collect()), key=lambda s: s.encode() if isinstance(s, str) else s)
+    if len(picked) < splitters:
+        return values.withColumn("id", F.row_number().over(inside) - 1)
+    ranged = values.withColumn("range", F.size(F.filter(F.array(*map(F.lit, picked)), lambda s: s <= F.col("value"))))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    starts = F.broadcast(sizes.select("range", before.alias("before")))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("value")) - 1
+    return ranged.withColumn("place", place).join(starts, "range").select("value", (F.col("before") + F.col("place")).alias("id"))
 
 
 def enum_encode(df: DataFrame, x: str, *by: str) -> DataFrame:

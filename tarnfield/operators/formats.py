@@ -33,11 +33,11 @@ def elastic(m: Column) -> Column:
 
 
 def datadog(m: Column, now_ms: Column | None = None) -> Column:
-    """now_ms: the time of records without ts; by default the query's start."""
+    """now_ms: the time of records without ts; by default the query's start. A ts that is no time gives an explicit null."""
     now = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
     ts = lookup(m, "ts")
     derived = {
-        "timestamp": F.when(is_truthy(ts), time_of(ts)).otherwise(now).cast("variant"),
+        "timestamp": F.when(is_truthy(ts), F.coalesce(time_of(ts).cast("variant"), F.parse_json(F.lit("null")))).otherwise(now.cast("variant")),
         "status": lookup(m, "level"),
         "service": lookup(m, "service"),
         "message": or_else(lookup(m, "message"), lookup(m, "msg")),

@@ -19,6 +19,12 @@ def pick(m: Column, fields: list[str]) -> Column:
     return F.map_from_entries(F.transform(wanted, lambda f: F.struct(f.alias("key"), F.try_element_at(m, f).alias("value"))))
 
 
+def pick_from(v: Column, fields: list[str]) -> Column:
+    """As pick(), from the record itself by plain lookups, which a Parquet scan narrows to these fields."""
+    each = [F.struct(F.lit(f).alias("key"), F.try_variant_get(v, path_of(f), "variant").alias("value")) for f in dict.fromkeys(fields)]
+    return F.map_from_entries(F.filter(F.array(*each), lambda p: p["value"].isNotNull()))
+
+
 def project_text(v: Column, fields: list[str]) -> Column:
     """JSON text of the projection; no fields means all of them; {} if none is there."""
     m = as_map(v)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.json import as_map
 
@@ -33,19 +34,54 @@ def key_union(df: DataFrame, *by: str, v: str = "v") -> DataFrame:
     return shapes.select(*by, keys, "n").groupBy(*by, "key").agg(F.sum("n").alias("n_rows"))
 
 
+#: Lines of a file whose rows are sorted together.
+BUCKET_LINES = 1 << 16
+
+
+def _bucketed(df: DataFrame, file: str) -> tuple[DataFrame, DataFrame]:
+    """df with _bucket, a range of line numbers, and _inside, the place among its shape's rows there; and the buckets' counts.
+
+    So no sort holds more than BUCKET_LINES rows, however large a file is.
+    line_no is a number, or the (block, row) of a split file.
+    """
+    line = df.schema["line_no"].dataType
+    if isinstance(line, StructType):
+        bucket = F.struct(F.col("line_no.block"), F.floor(F.col("line_no.row") / BUCKET_LINES).alias("part"))
+    else:
+        bucket = F.floor(F.col("line_no") / BUCKET_LINES)
+    df = df.withColumn("_bucket", bucket)
+    counts = df.groupBy(file, "shape", "_bucket").agg(F.count("*").alias("_n"), F.min("line_no").alias("_first"))
+    inside = F.row_number().over(Window.partitionBy(file, "shape", "_bucket").orderBy("line_no")) - 1
+    return df.withColumn("_inside", inside), counts
+
+
+def _with_start(df: DataFrame, starts: DataFrame, file: str) -> DataFrame:
+    """df joined to its buckets' starts; file may be null."""
+    starts = starts.toDF("_file", "_shape", "_in", "_start")
+    same = df[file].eqNullSafe(starts["_file"]) & df["shape"].eqNullSafe(starts["_shape"]) & (df["_bucket"] == starts["_in"])
+    return df.join(starts, same).drop("_file", "_shape", "_in", "_bucket")
+
+
 def numbered(df: DataFrame, file: str = "file") -> DataFrame:
     """Adds window and window_row: place of a row among its file's rows of the shape.
 
-    The numbering is per file, as windows never span files; a file's rows are
-    what one window sort has to hold.
+    The numbering is per file, as windows never span files. Rows are sorted
+    inside ranges of lines; the ranges' counts give where each starts.
     """
-    place = F.row_number().over(Window.partitionBy(file, "shape").orderBy("line_no")) - 1
-    out = df.withColumn("_place", place)
-    return out.withColumns({"window": F.floor(F.col("_place") / BATCH_ROWS).cast("long"), "window_row": (F.col("_place") % BATCH_ROWS).cast("long")}).drop("_place")
+    rows, counts = _bucketed(df, file)
+    earlier = Window.partitionBy(file, "shape").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(file, "shape", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_inside")
+    out = _with_start(rows, starts, file)
+    return out.withColumns({"window": F.floor(place / BATCH_ROWS).cast("long"), "window_row": (place % BATCH_ROWS).cast("long")}).drop("_start", "_inside")
 
 
 def shape_major(df: DataFrame, file: str = "file") -> DataFrame:
     """Adds out_no: place in the order shapes first appear, then lines. Original order is line_no."""
-    first = F.min("line_no").over(Window.partitionBy(file, "shape"))
-    ranked = df.withColumn("_first", first)
-    return ranked.withColumn("out_no", F.row_number().over(Window.partitionBy(file).orderBy("_first", "line_no")) - 1).drop("_first")
+    rows, counts = _bucketed(df, file)
+    first = F.min("_first").over(Window.partitionBy(file, "shape"))
+    # A row per shape and range of lines, in output order
+    earlier = Window.partitionBy(file).orderBy("_shape_first", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_shape_first", first).select(file, "shape", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    out = _with_start(rows, starts, file)
+    return out.withColumn("out_no", F.col("_start") + F.col("_inside")).drop("_start", "_inside")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -159,16 +161,8 @@ def sidecar_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.project_columns(out, {"event_type": "string", "user_id": "long"})
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id < 100)")
-def without_seen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose key a set of seen keys doesn't hold."""
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    seen = rows.where("event_type = 'error' AND event_id < 100")
-    return filters.without_seen(rows, seen, "user_id").select("event_id", "user_id")
-
-
 @query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100)")
-def without_error_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+def without_seen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a set of seen keys from all events."""
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     return filters.without_seen(rows, rows.where("event_type = 'error' AND value > 100"), "user_id").select("event_id", "user_id")
@@ -190,11 +184,12 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_lines(spark, sf_dir).groupBy("line_kind").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id AS line_no, CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 13 = 0 THEN 20 ELSE 2 END AS n_chars FROM events""")
+@query("""SELECT event_id AS line_no, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN '{"event_id": 1, "ts"'
+ELSE concat('{"event_type":"', event_type, '"', CASE WHEN event_id % 3 <> 0 THEN concat(',"user_id":', user_id) ELSE '' END, '}') END AS line FROM events""")
 def restored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line again in its place: no requested field gives {}, blank lines are empty, other text stays."""
+    """Every line again in its place: records with two fields, in requested order, blank lines empty, other text as it was."""
     rows = lines.classified(event_text(spark, sf_dir), keep_blank_text=False)
-    return store.to_lines(rows, ["nothing"]).select("line_no", F.length("line").alias("n_chars"))
+    return store.to_lines(rows, ["event_type", "user_id"]).select("line_no", "line")
 
 
 @query(f"WITH {REC} SELECT {SHAPE} AS shape, count(*) AS n_rows, min(line_no) AS first_line, ceil(count(*) / 4096.0)::BIGINT AS n_windows FROM rec GROUP BY 1")
@@ -369,7 +364,15 @@ def string_hash31(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", V.hash31(F.col("event_type")).alias("hash"))
 
 
-@query()
+#: CRC-32 by its table of bytes; props is ASCII.
+_CRC = """WITH steps AS (
+  SELECT list(list_reduce(list_prepend(i::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+)
+SELECT event_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(props, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: xor(h >> 8, t[(xor(h, c) & 255) + 1])), 4294967295) AS crc
+FROM events, steps"""
+
+
+@query(_CRC)
 def crc32_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.crc32(F.col("props").cast("binary")).alias("crc"))
 
@@ -389,18 +392,12 @@ def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.project_columns(rows, {"user_id": "long", "value": "double"}, "line_no", "keys")
 
 
-@query("SELECT value AS n, CASE WHEN value < 26 THEN chr((97 + value)::INTEGER) ELSE concat(chr((97 + (value - 26) // 26)::INTEGER), chr((97 + (value - 26) % 26)::INTEGER)) END AS code FROM (SELECT event_id AS value FROM events WHERE event_id < 26 + 676)")
-def key_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id < 26 + 676")
-    return rows.select(F.col("event_id").alias("n"), V.base26(F.col("event_id")).alias("code"))
-
-
 _LETTERS = lambda n, before, letters: "concat(" + ", ".join(f"chr((97 + ({n} - {before}) // {26**p} % 26)::INTEGER)" for p in reversed(range(letters))) + ")"
 
 
 @query(f"""SELECT event_id AS n, CASE WHEN event_id < 26 THEN {_LETTERS("event_id", 0, 1)} WHEN event_id < 702 THEN {_LETTERS("event_id", 26, 2)}
 WHEN event_id < 18278 THEN {_LETTERS("event_id", 702, 3)} WHEN event_id < 475254 THEN {_LETTERS("event_id", 18278, 4)} END AS code FROM events""")
-def key_codes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def key_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all events, up to four letters."""
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), V.base26(F.col("event_id")).alias("code"))
 
@@ -446,22 +443,25 @@ def rename_top_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Codecs, storage, measures ---------------------------------------------------
 
-_SIZES = "sizes(win, codec, n_bytes) AS (VALUES (0, 'brotli', 90), (0, 'gzip', 100), (0, 'zstd', 95), (1, 'brotli', 80), (1, 'gzip', 80), (1, 'zstd', 85), (2, 'brotli', 70), (2, 'gzip', 60), (2, 'zstd', 61))"
+#: Each user's events as a window's trials: the codec with the least size wins, ties by name.
+_TRIALS = """WITH trials AS (SELECT user_id AS win, ['brotli', 'gzip', 'zstd'][event_id % 3 + 1] AS codec, floor(value * 10)::BIGINT AS n_bytes FROM events),
+best AS (SELECT win, arg_min(codec, (n_bytes, codec)) AS codec, min(n_bytes) AS n_bytes FROM trials GROUP BY win)"""
 
 
-def _sizes(spark: SparkSession) -> DataFrame:
-    rows = [(0, "brotli", 90), (0, "gzip", 100), (0, "zstd", 95), (1, "brotli", 80), (1, "gzip", 80), (1, "zstd", 85), (2, "brotli", 70), (2, "gzip", 60), (2, "zstd", 61)]
-    return spark.createDataFrame(rows, "win int, codec string, n_bytes int")
+def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = F.element_at(F.array(*map(F.lit, ("brotli", "gzip", "zstd"))), (F.col("event_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("win"), codec.alias("codec"), F.floor(F.col("value") * 10).alias("n_bytes"))
 
 
-@query(f"WITH {_SIZES} SELECT win, arg_min(codec, (n_bytes, codec)) AS codec, min(n_bytes) AS n_bytes FROM sizes GROUP BY win")
+@query(f"{_TRIALS} SELECT win, codec, n_bytes FROM best")
 def codec_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codecs.smallest(_sizes(spark), "win")
+    return codecs.smallest(_trials(spark, sf_dir), "win")
 
 
-@query("SELECT 'brotli' AS codec, 2::BIGINT AS n, 2 / 3::DOUBLE AS share, FALSE AS coalesce")
+@query(f"""{_TRIALS}, counted AS (SELECT codec, count(*) AS n, (SELECT count(*) FROM best) AS total FROM best GROUP BY codec)
+SELECT codec, n, n / total::DOUBLE AS share, n / total::DOUBLE >= 0.9 AS "coalesce" FROM counted ORDER BY n DESC, codec DESC LIMIT 1""")
 def codec_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codecs.majority(codecs.smallest(_sizes(spark), "win"))
+    return codecs.majority(codecs.smallest(_trials(spark, sf_dir), "win"))
 
 
 @query()
@@ -507,7 +507,13 @@ def selective_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.sizes(event_lines(spark, sf_dir), ["event_type", "user_id"]).select("n_lines", "n_fields", "projected_bytes")
 
 
-@query()
+@query(f"""WITH {REC}, t AS (
+  SELECT concat('{{"event_type":"', event_type, '"', CASE WHEN has_user_id THEN concat(',"user_id":', user_id) ELSE '' END, '}}') AS line,
+    concat('{{"active":', active, ',"event_id":', event_id, ',"event_type":"', event_type, '","props":', replace(props, ' ', ''),
+      CASE WHEN NOT has_ts THEN '' WHEN event_id % 5 = 0 THEN ',"ts":null' ELSE concat(',"ts":"', strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g'), 'Z"') END,
+      CASE WHEN has_user_id THEN concat(',"user_id":', user_id) ELSE '' END, ',"value":', regexp_replace(value::VARCHAR, '[.]0$', ''), '}}') AS whole_line FROM rec
+), sums AS (SELECT count(*) AS n_lines, 2::BIGINT AS n_fields, sum(strlen(line))::BIGINT AS projected_bytes, sum(strlen(whole_line))::BIGINT AS raw_bytes FROM t)
+SELECT *, projected_bytes / raw_bytes::DOUBLE AS ratio FROM sums""")
 def selective_bytes_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.sizes(event_lines(spark, sf_dir), ["event_type", "user_id"])
 
@@ -533,6 +539,13 @@ def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Streams -----------------------------------------------------------------------
 
 
+@query(f"""WITH {REC} SELECT line_no, concat('{{"event_type":"', event_type, '"', CASE WHEN has_user_id THEN concat(',"user_id":', user_id) ELSE '' END, '}}') AS line
+FROM rec WHERE ts_ms IS NULL OR ts_ms BETWEEN {BOUNDS}""")
+def store_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shipping plan over a store: its time column is tested by the scan, two fields are read."""
+    return sidecar.ship(_stored(spark, sf_dir), sidecar.Options(fields=["event_type", "user_id"], since=SINCE, until=UNTIL), "line_no")
+
+
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
     path = fresh_path(spark, "lines")
     event_text(spark, sf_dir).select("raw").write.text(path)
@@ -552,6 +565,32 @@ def stream_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", V.epoch_ms(F.col("ts")).alias("ts_ms"), "event_type", "user_id")
 
 
+@query(f"WITH {REC} SELECT event_id, ts_ms, event_type, user_id FROM rec WHERE ts_ms IS NULL OR ts_ms BETWEEN {BOUNDS}")
+def stream_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As stream_sidecar, from one file that grows and is renamed between three runs of the query, each going on from the checkpoint."""
+    from ..streaming import follow
+
+    folder = fresh_path(spark, "growing").removeprefix("file://")  # a mounted folder, as this source opens files itself
+    os.makedirs(folder)
+    out, checkpoint = fresh_path(spark, "grown"), fresh_path(spark, "checkpoint")
+    texts = [r.raw for r in event_text(spark, sf_dir).orderBy("line_no").select("raw").toLocalIterator()]
+    thirds, name = -(-len(texts) // 3), f"{folder}/app.log"
+    for run in range(3):
+        part = texts[run * thirds : (run + 1) * thirds]
+        with open(name, "a", encoding="utf-8") as f:
+            f.write("".join(f"{x}\n" for x in part))
+        rows = follow.follow_growing(spark, f"{folder}/*.log")
+        query = follow.start(sidecar.ship(rows, sidecar.Options(since=SINCE, until=UNTIL)), "parquet", out, checkpoint)
+        query.awaitTermination()
+        if run == 0:
+            os.rename(name, f"{folder}/old.log")
+            name = f"{folder}/old.log"
+    shutil.rmtree(folder)
+    found = lines.classified(spark.read.parquet(out).select(F.col("line").alias("raw")))
+    typed = project.project_columns(found, {"event_id": "long", "ts": "string", "event_type": "string", "user_id": "long"})
+    return typed.select("event_id", V.epoch_ms(F.col("ts")).alias("ts_ms"), "event_type", "user_id")
+
+
 @query(f"WITH {REC} SELECT DISTINCT event_type, user_id FROM rec")
 def stream_dedup_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream's equal output lines once, with state of bounded size."""

@@ -1,7 +1,8 @@
 """The columnar store: Parquet with typed hot fields and the whole record beside them.
 
 A store keeps file, line_no, is_record, raw (of lines that aren't records),
-the record as VARIANT, and for each hot field a typed column and its presence.
+the record as VARIANT, its time in milliseconds, and for each hot field a typed
+column and its presence.
 Reading a field means a plain column reference, so the scan prunes all others
 and takes filters on them; other keys are looked up in the VARIANT.
 """
@@ -13,15 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions.json import as_map, has_key
 from ..operators.codecs import WRITER, resolve
+from ..operators.filters import record_time
 from ..operators.project import path_of, project_text
 
 HAS = "has__"
 FIELD = "f__"
+TIME = "time__ms"
 
 
 def shredded(df: DataFrame, fields: dict[str, str], v: str = "v") -> DataFrame:
-    """Adds f__name (typed) and has__name for each hot field."""
+    """Adds time__ms, and f__name (typed) and has__name for each hot field."""
     m = as_map(F.col(v))
+    df = df.withColumn(TIME, record_time(m))
     typed = {f"{FIELD}{f}": F.try_variant_get(F.col(v), path_of(f), t) for f, t in fields.items()}
     return df.withColumns(typed | {f"{HAS}{f}": has_key(m, f) for f in fields})
 
@@ -33,7 +37,7 @@ def write(df: DataFrame, path: str, fields: dict[str, str], codec: str | None =
     """
     out = shredded(df, fields).withColumn("raw", F.when(~F.col("is_record"), F.col("raw")))
     keep = [c for c in ("file", "line_no", "is_record", "line_kind", "raw", "v", *partition_by) if c in out.columns]
-    keep += [c for c in out.columns if c.startswith((FIELD, HAS))]
+    keep += [c for c in out.columns if c.startswith((FIELD, HAS)) or c == TIME]
     out.select(*dict.fromkeys(keep)).write.mode(mode).partitionBy(*partition_by).parquet(path, compression=WRITER[resolve(df.sparkSession, codec)])
 
 

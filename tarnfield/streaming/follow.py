@@ -1,4 +1,4 @@
-"""Follow mode: growing directories of line files, with the batch plan's functions.
+"""Follow mode: growing folders of line files, and growing files, with the batch plan's functions.
 
 The checkpoint holds offsets and state after every micro-batch; file sinks are
 exactly-once, other sinks should be idempotent.
@@ -16,6 +16,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.lines import classified
+from . import tail
 
 #: Recent hashes that a bucket remembers at most, and after trimming.
 RECENT_MOST = 10_000
@@ -27,7 +28,7 @@ def follow_lines(spark: SparkSession, path: str, files_per_batch: int | None = N
     """A stream of classified lines: file, raw, v, is_record, line_kind.
 
     The limits are admission control per micro-batch. The source takes each
-    file once, by path; a rotated log is a file with a new name.
+    file once, by path; for text appended to known files see follow_growing.
     """
     reader = spark.readStream.option("lineSep", "\n")
     if files_per_batch:
@@ -38,6 +39,19 @@ def follow_lines(spark: SparkSession, path: str, files_per_batch: int | None = N
     return classified(rows)
 
 
+def follow_growing(spark: SparkSession, path: str, lines_per_batch: int | None = None) -> DataFrame:
+    """A stream of classified lines: file, position, raw, v, is_record, line_kind, of files that grow, are renamed or truncated.
+
+    lines_per_batch with a trigger each second limits lines per second; such
+    lines are read by the driver, others by the executors.
+    """
+    spark.dataSource.register(tail.GrowingLines)
+    reader = spark.readStream.format(tail.FORMAT).option("path", path)
+    if lines_per_batch:
+        reader = reader.option("linesPerTrigger", lines_per_batch)
+    return classified(reader.load())
+
+
 def dedup_within(df: DataFrame, event_time: str, delay: str, *keys: str) -> DataFrame:
     """Drops duplicates whose event times lie within the delay; state goes as the watermark passes.
 
