@@ -18,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -155,11 +156,12 @@ def column_values(data: bytes, rows: int) -> list:
             out.append(None if step is None else last)
         return out
     if kind == TIME_DOD:
+        codes = [_unsigned(r.varint()) for _ in range(rows)]
         out = []
-        for i in range(rows):
-            x = _unsigned(r.varint()) or 0
-            out.append(x if i < 2 else x + 2 * out[-1] - out[-2])
-        return [datetime.fromtimestamp(t / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%S.") + f"{t % 1000:03d}Z" if 10**12 < t < 2 * 10**14 else t for t in out]
+        for i, x in enumerate(codes):  # a null counts as 0 for the differences after it
+            out.append(x or 0 if i < 2 else 0 if x is None else x + 2 * out[-1] - out[-2])
+        out = [None if x is None else t for x, t in zip(codes, out)]
+        return [None if t is None else datetime.fromtimestamp(t / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%S.") + f"{t % 1000:03d}Z" if 10**12 < t < 2 * 10**14 else t for t in out]
     if kind == BOOL_RLE:
         out = []
         while len(out) < rows and r.at < len(data):
@@ -174,34 +176,55 @@ def column_values(data: bytes, rows: int) -> list:
     return [None] * rows
 
 
-def encode_column(values: list) -> bytes:
-    """Integers by difference or value, booleans by run, few short strings by number, else JSON."""
-    some = [v for v in values if v is not None]
-    if some and all(type(v) is int for v in some):
-        # Differences need the first row, as the format starts from it
-        if max(some) - min(some) < 2 * len(some) and values[0] is not None:
-            out, last = [bytes([DELTA_ZIGZAG])], 0
-            for v in values:
-                out.append(varint(0 if v is None else _code(v - last)))
-                last = last if v is None else v
-            return b"".join(out)
-        return bytes([INT_VARINT]) + b"".join(varint(_code(v)) for v in values)
-    if some and all(type(v) is bool for v in some):
-        out, i = [bytes([BOOL_RLE])], 0
-        while i < len(values):
-            n = next((k for k in range(i, len(values)) if values[k] is not values[i]), len(values)) - i
-            out.append(bytes([0 if values[i] is None else 1 + values[i]]) + varint(n))
-            i += n
-        return b"".join(out)
-    if some and all(type(v) is str and 0 < len(v) <= 16 for v in some) and len(set(some)) <= 16:
-        words = sorted(set(some))
-        at = {w: i for i, w in enumerate(words)} | {None: NULL_ENUM}
-        coded = [varint(len(b)) + b for b in (w.encode() for w in words)]
-        return bytes([ENUM_IDS, len(words)]) + b"".join(coded) + bytes(at[v] for v in values)
+def _all_of(kind: type, values: list) -> bool:
+    return any(v is not None for v in values) and all(v is None or type(v) is kind for v in values)
+
+
+def _as_numbers(values: list) -> bytes | None:
+    return bytes([INT_VARINT]) + b"".join(varint(_code(v)) for v in values) if _all_of(int, values) else None
+
+
+def _as_differences(values: list) -> bytes | None:
+    """To the value before; the format starts from the first row, so it must have one."""
+    if not _all_of(int, values) or values[0] is None:
+        return None
+    out, last = bytearray([DELTA_ZIGZAG]), 0
+    for v in values:
+        out += varint(0 if v is None else _code(v - last))
+        last = last if v is None else v
+    return bytes(out)
+
+
+def _as_runs(values: list) -> bytes | None:
+    if not _all_of(bool, values):
+        return None
+    out = bytearray([BOOL_RLE])
+    for value, run in groupby(values):
+        out.append(0 if value is None else 1 + value)
+        out += varint(sum(1 for _ in run))
+    return bytes(out)
+
+
+def _as_word_numbers(values: list) -> bytes | None:
+    """Each distinct text once, rows by its number; an empty text would read as null elsewhere."""
+    if not _all_of(str, values) or "" in (words := set(values) - {None}) or len(words) >= NULL_ENUM:
+        return None
+    place = {w: i for i, w in enumerate(sorted(words))} | {None: NULL_ENUM}
+    texts = [w.encode() for w in sorted(words)]
+    return bytes([ENUM_IDS, len(words)]) + b"".join(varint(len(t)) + t for t in texts) + bytes(map(place.__getitem__, values))
+
+
+def _as_json(values: list) -> bytes:
     texts = [json.dumps(v, separators=(",", ":"), ensure_ascii=False).encode() for v in values]
     return bytes([RAW_JSON]) + b"".join(varint(len(t)) + t for t in texts)
 
 
+def encode_column(values: list) -> bytes:
+    """The smallest of the encodings that can hold the values; of equally small ones the first."""
+    tried = (f(values) for f in (_as_differences, _as_numbers, _as_runs, _as_word_numbers, _as_json))
+    return min((found for found in tried if found is not None), key=len)
+
+
 def shape_id(keys: list[str]) -> int:
     """64-bit FNV-1a of the sorted keys joined by U+0001, over UTF-16 units."""
     h = 0xCBF29CE484222325

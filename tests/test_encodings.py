@@ -190,3 +190,18 @@ def test_stream_dedup_by_time(s, tmp_path):
     found = []
     follow.start_each(follow.dedup_within(rows, "t", "5 minutes", "id"), lambda df, _: found.extend(r.id for r in df.collect()), str(tmp_path / "state")).awaitTermination()
     assert sorted(found) == [1, 2]
+
+
+def test_columns_read_back_whatever_their_encoding():
+    cases = [[1, 2, 3, None, 5], [None, 1, 2], [10**18, -5], [True, None, False, False], ["a", "b", "a", None], ["", None], ["x" * 300] * 5, [None, None], [1.5, "a", {"b": [1]}], [], [str(i) for i in range(300)], [1, True]]
+    for values in cases:
+        data = container.encode_column(values)
+        assert container.column_values(data, len(values)) == values
+        assert len(data) <= len(container._as_json(values))
+
+
+def test_null_times_stay_null():
+    """Code 0 is null; differences go on from 0 there."""
+    codes = [1704067200000, 1704067201000, None, 1704067203000]
+    data = bytes([container.TIME_DOD]) + b"".join(container.varint(container._code(x)) for x in codes)
+    assert container.column_values(data, 4) == ["2024-01-01T00:00:00.000Z", "2024-01-01T00:00:01.000Z", None, codes[3] - 1704067201000]
