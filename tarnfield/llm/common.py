@@ -89,11 +89,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return trimmed
 
 
-def signed(h: int) -> int:
-    """An unsigned 64-bit hash as a long."""
-    return h - (1 << 64) if h >> 63 else h
-
-
 def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Small slices, so that few texts at a time become Python objects."""
     for batch in batches:

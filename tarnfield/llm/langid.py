@@ -10,9 +10,9 @@ travels as a few flat buffers that Python workers map without copying.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, row_slices, signed
+from .common import lean, materialise, row_slices
 
 _RUNS = re.compile(r"[^\W\d_]+")
 #: Bound of the model: labelled documents of each language that it's fitted on (a hash picks them). All their words and n-grams count.
@@ -67,41 +67,51 @@ def pieces(word: str, n: int) -> Iterator[list[str]]:
         yield [padded[i : i + n] for i in range(at, min(at + PIECE, last))]
 
 
+_WORDS = "lang string, word string, n long"
 _COUNTS = "lang string, order int, gram long, n long"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of words and n-grams by language, handed on whenever there are many."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of words by language, handed on whenever there are many."""
     words: Counter = Counter()
-    found: Counter = Counter()
-
-    def spell() -> None:
-        for (lang, word), n in words.items():
-            found[lang, 0, gram_hash(word, 0)] += n
-            for order in ORDERS:
-                for piece in pieces(word, order):
-                    for g, k in Counter(piece).items():
-                        found[lang, order, gram_hash(g, order)] += n * k
-        words.clear()
 
     def flush() -> pa.RecordBatch:
-        langs, orders, hashes = zip(*found) if found else ((), (), ())
-        columns = [pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(map(signed, hashes), pa.int64()), pa.array(found.values(), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "order", "gram", "n"])
+        langs, names = zip(*words) if words else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(words.values(), pa.int64())], ["lang", "word", "n"])
 
     for part in row_slices(batches):
         for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-            for word, n in Counter(letter_runs(text.lower())).items():
-                words[lang, word] += n
-        if len(words) > HELD // 4:
-            spell()
-        if len(found) > HELD:
+            words.update(zip(repeat(lang), letter_runs(text.lower())))
+        if len(words) > HELD:
             yield flush()
-            found.clear()
-    spell()
+            words.clear()
     yield flush()
 
 
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted words and their n-grams, as hashes; order 0 is a word."""
+    found: defaultdict[tuple[str, int], Counter] = defaultdict(Counter)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, order), counts in found.items():
+            hashes = np.fromiter((gram_hash(g, order) for g in counts), np.uint64, len(counts))
+            columns = [pa.array([lang] * len(counts), pa.string()), pa.array(np.full(len(counts), order, np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "order", "gram", "n"])
+        found.clear()
+
+    for part in row_slices(batches, 1024):
+        for lang, word, n in zip(*(part.column(c).to_pylist() for c in ("lang", "word", "n"))):
+            found[lang, 0][word] += n
+            for order in ORDERS:
+                counts = found[lang, order]
+                for piece in pieces(word, order):
+                    for g in piece:
+                        counts[g] += n
+        if sum(map(len, found.values())) > HELD:
+            yield from flush()
+    yield from flush()
+
+
 class Model:
     """Log frequencies. For each order: sorted hashes, and of each hash its (language, log) pairs; other languages have the order's least."""
 
@@ -277,7 +287,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     parts = 1 << 30
     shares = labelled.groupBy("lang").agg(F.ceil(F.lit(float(parts * train_docs)) / F.count(F.lit(1))).alias("share"))  # a row per language
     sample = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(parts)) < F.col("share")).select("lang", "text")
-    counts = sample.mapInArrow(lean(_count), _COUNTS).groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    words = materialise(sample.mapInArrow(lean(_count_words), _WORDS).groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
+    counts = words.mapInArrow(lean(_count_grams), _COUNTS).groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     rows = materialise(counts, "langid-counts").toArrow()  # the sample bounds it
     if not rows.num_rows:
         return Model([], [])
