@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_bits, bitmap_bytes, bitmap_has, discard, lean, materialise, parallelism, row_slices, split_by_mark
+from .common import bitmap_bits, bitmap_bytes, bitmap_has, lean, materialise, parallelism, row_slices, split_by_mark
 
 SHINGLE = 3
 SEED = 42
@@ -164,6 +164,8 @@ def hex16(fp: Column) -> Column:
 WORDS = 5
 LEAST = 0.8
 SEGMENTS, SYMBOLS = 6, 6
+#: Growth of a bucket's leaders from round to round.
+STEP = 32
 #: Segments that are indexed at a time; what they link is left out of the next.
 PASS = 2
 _ODD = np.random.Generator(np.random.PCG64(9)).integers(0, (1 << 64) - 1, 2 * SEGMENTS * SYMBOLS + 4, np.uint64, endpoint=True) | np.uint64(1)
@@ -176,26 +178,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-class Shingles:
-    """Hashes of a text's word shingles; remembers words' hashes, a bounded number of them."""
-
-    def __init__(self, words: int):
-        self.words, self.memo = words, {}
-
-    def of(self, text: str) -> np.ndarray:
-        """Distinct ones, sorted; fewer words than a shingle are one, and so are none."""
-        words = text.encode().lower().split()
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        known = self.memo
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w, SEED)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(self.words, max(1, len(h)))
-        out = np.zeros(max(1, len(h) - k + 1), np.uint64)
-        for j in range(k if len(h) else 0):
-            out = _mix(out * _ODD[-2] + h[j : j + len(out)])
-        return np.unique(out)
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, sorted; fewer words than a shingle are one, and so are none."""
+    each = text.encode().lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))
+    k = min(words, max(1, len(h)))
+    out = np.zeros(max(1, len(h) - k + 1), np.uint64)
+    for j in range(k if len(h) else 0):
+        out = _mix(out * _ODD[-2] + h[j : j + len(out)])
+    return np.unique(out)
 
 
 def symbols(shingles: np.ndarray) -> np.ndarray:
@@ -231,23 +222,24 @@ def _jaccard(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([part.column("node"), part.column("leader")], ["node", "leader"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of (node, leader) whose shingle sets have the least similarity; only the documents in pairs are read into sets."""
-    nodes = materialise(pairs.select("node").union(pairs.select("leader")).distinct(), "similar-nodes")
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): sorted 32-bit hashes of the documents (node, text) that are, or by a bitmap may be, in nodes; a stored table."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
         for part in row_slices(batches, 64):
-            found = [np.unique((shingles.of(t or "") >> np.uint64(32)).astype("<u4")).tobytes() for t in part.column("text").to_pylist()]
+            found = [np.unique((shingle_hashes(t or "", words) >> np.uint64(32)).astype("<u4")).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
 
-    kind = pairs.schema["node"].dataType.simpleString()
     _, involved = split_by_mark(docs, node_hash(F.col("node")), nodes, node_hash(F.col("node")))
-    involved = materialise(involved.mapInArrow(lean(sets), f"node {kind}, shingles binary").dropDuplicates(["node"]), "similar-sets")
-    both = pairs.join(involved.withColumnRenamed("shingles", "one"), "node").join(involved.select(F.col("node").alias("leader"), F.col("shingles").alias("other")), "leader")
-    out = materialise(both.select("node", "leader", "one", "other").mapInArrow(lambda batches: _jaccard(batches, least), f"node {kind}, leader {kind}"), "similar-pairs")
-    discard(nodes, involved)
-    return out
+    kind = docs.schema["node"].dataType.simpleString()
+    return materialise(involved.mapInArrow(lean(sets), f"node {kind}, shingles binary").dropDuplicates(["node"]), "similar-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of (node, leader) whose shingle sets have the least similarity; a stored table."""
+    kind = pairs.schema["node"].dataType.simpleString()
+    both = pairs.join(sets.withColumnRenamed("shingles", "one"), "node").join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("other")), "leader")
+    return materialise(both.select("node", "leader", "one", "other").mapInArrow(lambda batches: _jaccard(batches, least), f"node {kind}, leader {kind}"), "similar-pairs")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -258,9 +250,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lesser id at most, so following like leads to the one document of its group
     that stays. In each bucket of the index the document with the least id
     leads; members like it are linked and leave; the others choose leaders
-    again, four times as many each round, until none is left to compare. So no
-    bucket is expanded into its pairs, no member is dropped unseen, and no two
-    documents that stay were found similar.
+    again, STEP times as many each round, until none is left to compare. So no
+    bucket of similar documents is expanded into its pairs, no member is
+    dropped unseen, and no two documents that stay were found similar.
 
     Bounds: similar pairs that no segment shares are missed, two in a thousand
     at a similarity of 0.8, fewer above. Verification compares 32-bit hashes.
@@ -275,9 +267,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = rows.schema["node"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
         for part in row_slices(batches):
-            each = np.array([symbols(shingles.of(t or "")) for t in part.column("text").to_pylist()])
+            each = np.array([symbols(shingle_hashes(t or "", words)) for t in part.column("text").to_pylist()])
             flat = variants(each).reshape(len(each), -1).view(np.int64) if len(each) else np.zeros((0, 1), np.int64)
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(flat.tolist(), pa.list_(pa.int64()))], ["node", "signatures"])
 
@@ -291,21 +282,27 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             clear, maybe = split_by_mark(sketches, mine, linked, mine)
             alive = clear.unionByName(maybe.join(linked, "node", "left_anti"))
         part = F.slice("signatures", first * SYMBOLS + 1, PASS * SYMBOLS)
-        entries, leaders = materialise(alive.select("node", F.explode(part).alias("signature")), "similar-entries"), 1
+        entries, leaders, sets = materialise(alive.select("node", F.explode(part).alias("signature")), "similar-entries"), 1, None
         while True:
             seat = F.pmod(mine, F.lit(leaders))
             heads = entries.groupBy("signature", seat.alias("seat")).agg(F.min("node").alias("leader"), F.max("node").alias("last"))
             heads = materialise(heads.where("leader <> last" if leaders == 1 else "true").select("signature", "leader"), "similar-leaders")
-            _, maybe = split_by_mark(entries, F.col("signature"), heads, F.col("signature"))
-            members = materialise(maybe.join(heads, "signature").where("leader <> node").select("signature", "node", "leader"), "similar-members")
+            shared = entries
+            if leaders == 1:  # later entries are few
+                _, shared = split_by_mark(entries, F.col("signature"), heads, F.col("signature"))
+            members = materialise(shared.join(heads, "signature").where("leader <> node").select("signature", "node", "leader"), "similar-members")
             if not members.limit(1).count():
                 break
+            if sets is None:  # of all that any later round of this pass compares
+                sets = _sets(rows, materialise(members.select("node").union(members.select("leader")).distinct(), "similar-nodes"), words)
             pairs = members.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
-            links = _verified(rows, materialise(pairs, "similar-candidates"), words, least)
+            links = _verified(pairs, sets, least)
             linked = links if linked is None else linked.unionByName(links)
             # Members that no leader took go on among themselves; leaders have met everyone
             rest = members.select("signature", "node").distinct().join(links, "node", "left_anti").join(heads.withColumnRenamed("leader", "node"), ["signature", "node"], "left_anti")
-            entries, leaders = materialise(rest, "similar-entries"), leaders * 4
+            entries, leaders = materialise(rest, "similar-entries"), leaders * STEP
+            if not entries.limit(1).count():
+                break
     if linked is None:
         return sketches.select("node", F.lit(None).cast(kind).alias("like"))
     return sketches.select("node").join(linked.groupBy("node").agg(F.min("leader").alias("like")), "node", "left")
