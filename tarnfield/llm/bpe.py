@@ -7,6 +7,11 @@ among the most frequent ones is encoded once for all tasks, and this table,
 of at most table_rows words, is broadcast. Each other word is encoded once by
 the task that meets it. A text's ids are then looked up by position and never
 leave the task. Decoding looks each id's piece up in the vocabulary's table.
+
+encode_decode_joined() is the method in its plain form: every distinct word is
+encoded once, a shuffled join brings its ids to each place where it occurs, and
+another brings each id's piece. It moves every occurrence of every word, which
+the README has figures of.
 """
 
 from __future__ import annotations
@@ -81,7 +86,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all texts."""
-    return docs.select(F.col(text_col)).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col)).mapInArrow(lean(_count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Encoder:
@@ -110,7 +115,7 @@ def word_table(docs: DataFrame, tokenizer_path: str, text_col: str = "text", tab
             yield pa.RecordBatch.from_arrays([words, pa.array(encoder.encode(words.to_pylist()), pa.binary())], ["word", "ids"])
 
     counts = materialise(word_counts(docs, text_col).where(F.length("word") <= TABLE_CHARS), "bpe-words")
-    return top_words(counts, table_rows).select("word").mapInArrow(encode, "word string, ids binary")
+    return top_words(counts, table_rows).select("word").mapInArrow(lean(encode), "word string, ids binary")
 
 
 def pieces(tokenizer_path: str) -> list[bytes]:
@@ -132,9 +137,10 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     The digests are taken in the task, so that ids of long texts don't travel
     only to be hashed. Edge cases: null text is empty and has no ids; white
     space alone is one word; words longer than the table's bound are encoded
-    as they come; repeated rows give repeated results; an empty table gives an
-    empty result; other columns are ignored. The file at tokenizer_path must be
-    on every executor.
+    as they come; very long texts are encoded whole; repeated rows give
+    repeated results; an empty table gives an empty result; other columns,
+    whatever their names, are ignored. The file at tokenizer_path must be on
+    every executor.
     """
     rows = word_table(docs, tokenizer_path, text_col, table_rows).collect()  # at most table_rows short words
     shared = docs.sparkSession.sparkContext.broadcast({word: bytes(ids) for word, ids in rows})
@@ -170,4 +176,43 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
     schema = f"`{id_col}` long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), schema)
+
+
+def encode_decode_joined(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As encode_decode(), by joins: words with their places, the table of distinct words, ids with theirs, the table of pieces.
+
+    Edge cases as there; a text's places meet in one row again, so a text must
+    fit into a task.
+    """
+    spark = docs.sparkSession
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([WORDS.findall(t or "") for t in part.column(1).to_pylist()], pa.list_(pa.string()))], ["row", "words"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer_path)
+        for part in row_slices(batches, 4096):
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.encode(part.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "word_ids"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches):
+            out = []
+            for ids, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                decoded = b"".join(found or []).decode("utf-8", "replace").encode()
+                out.append((len(ids or []), hashlib.sha256(np.array(ids or [], "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "bpe-rows")
+    places = rows.select("row", "text").mapInArrow(lean(split), "row long, words array<string>").select("row", F.posexplode("words").alias("place", "word"))
+    places = materialise(places, "bpe-places")
+    words = materialise(places.select("word").distinct().mapInArrow(lean(encode), "word string, word_ids array<int>"), "bpe-table")
+    ids = places.join(words, "word").select("row", "place", F.posexplode("word_ids").alias("at", "token"))
+    vocabulary = spark.createDataFrame(list(enumerate(pieces(tokenizer_path))), "token int, piece binary")  # as many rows as the vocabulary has
+    joined = ids.join(vocabulary, "token")
+    whole = joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "at", "token", "piece"))).alias("all"))
+    out = rows.select("row", "id").join(whole, "row", "left").select("id", F.col("all.token").alias("tokens"), F.col("all.piece").alias("pieces"))
+    return out.mapInArrow(lean(digest), f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")

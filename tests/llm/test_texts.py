@@ -37,6 +37,12 @@ def test_bpe_as_the_library(spark, sf_dir, table_rows):
     check_bpe([r[:2] for r in DOCS], bpe.encode_decode(documents(spark), queries.tokenizer_path(), digests=True, table_rows=table_rows))
 
 
+def test_bpe_by_joins_as_the_library(spark, sf_dir):
+    short = all_docs(spark, sf_dir).where("length(text) < 3000")
+    check_bpe([(r.doc_id, r.text) for r in short.collect()], bpe.encode_decode_joined(short, queries.tokenizer_path()))
+    check_bpe([r[:2] for r in DOCS], bpe.encode_decode_joined(documents(spark), queries.tokenizer_path()))
+
+
 def test_bpe_white_space_words():
     """Cutting before white space never changes ids, for every kind and mix of white space."""
     from tokenizers import Tokenizer
