@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -20,16 +19,11 @@ RUNTIME = {
 def prepared(spark: SparkSession) -> SparkSession:
     """The same session with RUNTIME set; safe to call again.
 
-    Python workers get this package's folder on their path. On a cluster whose
-    machines don't have that folder, ship the package with --py-files.
+    Functions for Python workers travel with their code (see the package's
+    __init__), so executors need no copy of this package.
     """
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
 
 
