@@ -34,7 +34,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Edge cases: null text is empty, and empty texts are one group; a null id
     comes last among ties; of repeated rows (same id and text) exactly one
-    stays; an empty table gives an empty result; other columns are ignored.
+    stays; very long texts are hashed whole; an empty table gives an empty
+    result; other columns, whatever their names, are ignored.
     """
     norm = normalised(F.col(text_col))
     keys = docs.select(F.length(norm).alias("norm_len"), F.xxhash64(F.left(norm, F.lit(prefix))).alias("prefix_hash"))

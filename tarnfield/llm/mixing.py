@@ -80,8 +80,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Edge cases: null text has no words and is never taken; null sources form
     one source, the last; repeated rows count as rows of their own; ties of the
-    hash order are settled by id and size; without any words all targets are 0;
-    an empty table gives an empty result.
+    hash order are settled by id and size; very long texts count whole; without
+    any words all targets are 0; an empty table gives an empty result; other
+    columns, whatever their names, are ignored.
     """
     order = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
     sized = materialise(

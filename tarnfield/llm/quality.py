@@ -86,8 +86,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """One row per document: id, the counts, base_failed, kept, n_removed_words, and with texts cleaned_text, without the removed lines.
 
     Edge cases: null text stays null in cleaned_text; null or empty text has no words and fails; a null host is a
-    host of its own; a line twice in one document counts it once; repeated rows
-    are documents of their own; an empty table gives an empty result.
+    host of its own; a line twice in one document counts it once; very long
+    texts count whole; a line in exactly as many documents as the limit stays;
+    repeated rows are documents of their own; an empty table gives an empty
+    result; other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     if texts:

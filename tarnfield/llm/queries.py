@@ -51,6 +51,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).drop("score")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6's parts of a url and its rules, which SQL can express."""
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    fits = url_filter.rule_of(F.col("host"), F.col("path"), url_filter.RULES)
+    rows = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    return rows.withColumn("fits", fits).select("page_id", "host", "path", "fits.rule", F.col("fits.verdict").alias("ruled"))
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2's base kinds by number, which SQL can express."""
+    return op2_pii(spark, sf_dir).select("doc_id", *[f"n_{kind}" for kind in pii.BASE])
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -69,7 +82,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_bpe, op2_pii, op3_mixing, op4_quality, op5_exact_dedup, op6_url_filter, op7_langid, op8_warc, op9_simhash, op10_suffix_dedup)
+    each = (op1_bpe, op2_pii, op3_mixing, op4_quality, op5_exact_dedup, op6_url_filter, op7_langid, op8_warc, op9_simhash, op10_suffix_dedup, url_rules, pii_counts)
     return {f.__name__: f for f in each}
 
 
@@ -181,5 +194,40 @@ FROM typed
 """
 
 
+URL_RULES_SQL = r"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled FROM ruled
+"""
+
+PII_COUNTS_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), found AS (
+  SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+    list_transform(regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda m: string_split(m, '.')) AS ips,
+    list_transform(regexp_extract_all(text, '[0-9]([ -]?[0-9])+'), lambda m: regexp_replace(m, '[^0-9]', '', 'g')) AS cards,
+    list_transform(regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]'), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g'))) AS phones
+  FROM texts
+)
+SELECT doc_id, n_email,
+  len(list_filter(ips, lambda parts: list_bool_and(list_transform(parts, lambda p: length(ltrim(p, '0')) <= 3 AND right(concat('000', p), 3)::INTEGER <= 255))))::BIGINT AS n_ip,
+  len(list_filter(cards, lambda d: length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(d)), lambda i:
+    CASE WHEN i % 2 = 0 THEN substr(d, length(d) - i, 1)::INTEGER ELSE (2 * substr(d, length(d) - i, 1)::INTEGER) % 10 + (2 * substr(d, length(d) - i, 1)::INTEGER) // 10 END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(phones, lambda n: n BETWEEN 10 AND 15))::BIGINT AS n_phone
+FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op4_quality": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_warc": OP8_SQL}
+    return {"op3_mixing": OP3_SQL, "op4_quality": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_warc": OP8_SQL, "url_rules": URL_RULES_SQL, "pii_counts": PII_COUNTS_SQL}

@@ -144,8 +144,9 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id
 
     Edge cases: a null url, or one without ://, has an empty host and path and
     fits no rule; null html adds no words; without pages that rules decide, the
-    rest is allowed; ties of the score are allowed; repeated rows give repeated
-    results; an empty table gives an empty result.
+    rest is allowed; ties of the score are allowed; very long urls and html are
+    read whole; repeated rows give repeated results; an empty table gives an
+    empty result; other columns, whatever their names, are ignored.
     """
     spark = pages.sparkSession
     words = materialise(pages.select(html_col).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "url-words")

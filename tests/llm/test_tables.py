@@ -284,6 +284,46 @@ def test_url_segments():
     assert "".join(s.letters("zzqqbest")) == "zzqqbest"
 
 
+def best_split(text, counts):
+    """The greatest joint log probability over all ways to cut a short text."""
+    total = sum(counts.values()) + 1
+    cost = lambda w: math.log(counts[w] / total) if w in counts else math.log(10 / total) - len(w) * math.log(10)
+    if not text:
+        return 0.0
+    return max(cost(text[:n]) + best_split(text[n:], counts) for n in range(1, len(text) + 1))
+
+
+def test_url_segments_are_the_best_of_all():
+    rng = random.Random(6)
+    for _ in range(60):
+        counts = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))): rng.randrange(1, 500) for _ in range(6)}
+        text = "".join(rng.choice("abc") for _ in range(9))
+        cut = url_filter.Segmenter(counts).letters(text)
+        total = sum(counts.values()) + 1
+        score = sum(math.log(counts[w] / total) if w in counts else math.log(10 / total) - len(w) * math.log(10) for w in cut)
+        assert "".join(cut) == text and score == pytest.approx(best_split(text, counts))
+
+
+def test_url_verdicts_as_a_plain_naive_bayes(spark, sf_dir):
+    import re
+
+    df = table(spark, sf_dir, "pages")
+    rows = df.collect()
+    words = Counter(w for r in rows for w in re.findall(r"[a-z]+", re.sub(r"<[^>]*>", " ", r.html or "").lower()))
+    segmenter = url_filter.Segmenter(words)
+    split = [(r.page_id, *(hp := plain_url(r.url)), plain_rule(*hp)[1], url_filter.tokens(segmenter, *hp)) for r in rows]
+    counts = {v: Counter(t for *_, ruled, ts in split if ruled == v for t in ts) for v in ("block", "allow")}
+    n = {v: sum(ruled == v for *_, ruled, _ in split) for v in counts}
+    smooth = 0.5 * max(len(counts["block"] | counts["allow"]), url_filter.LEAST_VOCABULARY)
+    log = lambda t, v: math.log((counts[v][t] + 0.5) / (sum(counts[v].values()) + smooth))
+    got = {r.page_id: r for r in url_filter.filter_urls(df).collect()}
+    assert all(n.values()) and any(ruled is None for *_, ruled, _ in split)
+    for page, _, _, ruled, ts in split:
+        if ruled is None:
+            score = math.log(n["block"] / n["allow"]) + sum(log(t, "block") - log(t, "allow") for t in ts)
+            assert got[page].score == pytest.approx(score, abs=1e-6) and got[page].verdict == ("block" if score > 0 else "allow")
+
+
 def test_url_scores_follow_the_rules(spark):
     html = "casino poker win garden flower plant " * 50
     rows = [(i, f"http://casinopoker{i % 9}.net/win/{i}", html) for i in range(60)] + [(100 + i, f"http://gardenflower{i % 9}.org/fr/plant/{i}", html) for i in range(60)]
