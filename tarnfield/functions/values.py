@@ -45,8 +45,9 @@ def iso(ms: Column) -> Column:
 
 
 def hash31(text: Column) -> Column:
-    """The 31-multiplier hash in 32 unsigned bits, for ASCII text; a stable fingerprint, not for joins at scale (use xxhash64)."""
-    return F.aggregate(F.transform(F.split(text, ""), F.ascii), F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(4294967295)))
+    """The 31-multiplier hash of UTF-16 units in 32 unsigned bits; a stable fingerprint, not for joins at scale (use xxhash64)."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    return F.aggregate(units, F.lit(0).cast("long"), lambda h, u: (h * 31 + F.conv(u, 16, 10).cast("long")).bitwiseAND(F.lit(4294967295)))
 
 
 def base26(n: Column) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.codecs import WINDOW_BYTES, choose_auto, compress, decompress
+from ..operators.codecs import MAJORITY, PROBE_BYTES, WINDOW_BYTES, choose_auto, compress, decompress
 
 # Fixed values of the format.
 MAGIC = b"JCO1"
@@ -325,15 +325,17 @@ def columnar_payload(lines: list[str]) -> bytes | None:
 
 
 def hybrid_body(payload: bytes) -> bytes:
-    """The smaller of one stream under the best codec, and windows each under its best."""
+    """The smaller of one stream under the best codec, and windows under codecs that a probe of each picks; a clear majority takes them all."""
     solid = min((compress(payload, c) for c in HYBRID_CODECS), key=len)
-    parts = []
-    for at in range(0, len(payload), WINDOW_BYTES):
-        raw = payload[at : at + WINDOW_BYTES]
-        size, which, data = min((len(d), i, d) for i, d in enumerate(compress(raw, c) for c in HYBRID_CODECS))
-        parts.append(struct.pack("<BII", which, len(raw), size) + data)
-    windows = HYBRID_MAGIC + struct.pack("<I", len(parts)) + b"".join(parts)
-    return windows if len(windows) < len(solid) else solid
+    windows = [payload[at : at + WINDOW_BYTES] for at in range(0, len(payload), WINDOW_BYTES)]
+    picks = [min(range(len(HYBRID_CODECS)), key=lambda i: (len(compress(raw[:PROBE_BYTES], HYBRID_CODECS[i])), i)) for raw in windows]
+    if picks and picks.count(top := max(set(picks), key=picks.count)) >= MAJORITY * len(picks):
+        picks = [top] * len(picks)
+    parts = [HYBRID_MAGIC, struct.pack("<I", len(windows))]
+    for raw, i in zip(windows, picks):
+        data = compress(raw, HYBRID_CODECS[i])
+        parts += [struct.pack("<BII", i, len(raw), len(data)), data]
+    return min(solid, b"".join(parts), key=len)
 
 
 def packed(payload: bytes, codec: str, ndjson: bool, pairs: dict[str, str] | None = None) -> bytes:

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources.lines import classified
 from . import tail
 
-#: Recent hashes that a bucket remembers at most, and after trimming.
+#: Recent hashes that are remembered at most, and after trimming, by all buckets together.
 RECENT_MOST = 10_000
 RECENT_KEPT = 5_000
 BUCKETS = 64
@@ -63,9 +63,11 @@ def dedup_within(df: DataFrame, event_time: str, delay: str, *keys: str) -> Data
 def dedup_recent(df: DataFrame, text: str = "line", buckets: int = BUCKETS, most: int = RECENT_MOST, kept: int = RECENT_KEPT) -> DataFrame:
     """Drops lines whose hash is among the recent ones; a stream of (bucket, line).
 
-    State is bounded by count: each of the hash buckets keeps at most `most`
-    hashes, trimmed to the latest `kept`, so an old line can pass again.
+    State is bounded by count: each of the hash buckets has an even share of
+    `most` hashes, trimmed to its share of the latest `kept`, so an old line
+    can pass again.
     """
+    most, kept = max(1, most // buckets), max(1, kept // buckets)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = dict.fromkeys(state.get[0]) if state.exists else {}

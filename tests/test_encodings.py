@@ -205,3 +205,26 @@ def test_null_times_stay_null():
     codes = [1704067200000, 1704067201000, None, 1704067203000]
     data = bytes([container.TIME_DOD]) + b"".join(container.varint(container._code(x)) for x in codes)
     assert container.column_values(data, 4) == ["2024-01-01T00:00:00.000Z", "2024-01-01T00:00:01.000Z", None, codes[3] - 1704067201000]
+
+
+def test_hash31_of_any_text(spark):
+    from tarnfield.functions import values as V
+
+    texts = ["", "abc", "é\u4e2d", "a\U0001f600b", "x" * 100, None]
+
+    def plain(text):
+        h = 0
+        for unit in memoryview(text.encode("utf-16-le")).cast("H"):
+            h = (h * 31 + unit) & 0xFFFFFFFF
+        return h
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", V.hash31(F.col("t")).alias("h")).collect()
+    assert {r.t: r.h for r in got} == {t: None if t is None else plain(t) for t in texts} and plain("abc") == 96354
+
+
+def test_hybrid_windows_of_mixed_data():
+    rng = random.Random(3)
+    noise = bytes(rng.randrange(256) for _ in range(70_000))
+    for payload in (b"", b"a" * 300_000, noise, b"line of text\n" * 20_000 + noise + b"x" * 100_000):
+        body = container.hybrid_body(payload)
+        assert container.decode_body(body, "hybrid") == payload
