@@ -38,22 +38,26 @@ def profile(long: DataFrame, *by: str) -> DataFrame:
     enum are counted, so long values never travel.
     """
     v = F.col("value")
-    k = kind(v)
-    present = ~F.coalesce(F.is_variant_null(v), F.lit(True))
-    text = text_of(v)
-    integer = is_integer_value(v)
-    whole = F.when(integer, F.coalesce(F.try_variant_get(v, "$", "long"), F.floor(F.try_variant_get(v, "$", "double")).cast("long")))
-    short = (k == "STRING") & F.length(text).between(1, ENUM_CHARS)
-    return long.groupBy(*by, "key").agg(
+    # Each value's type and forms are worked out once, then aggregated
+    typed = long.select(*by, "key", v.alias("_v"), kind(v).alias("_kind"), is_integer_value(v).alias("_integer"))
+    typed = typed.select(
+        *by, "key", "_integer", "_kind",
+        (~F.coalesce(F.is_variant_null("_v"), F.lit(True))).alias("_present"),
+        F.when(F.col("_integer"), F.coalesce(F.try_variant_get("_v", "$", "long"), F.floor(F.try_variant_get("_v", "$", "double")).cast("long"))).alias("_whole"),
+        F.when(F.col("_kind") == "STRING", text_of(F.col("_v"))).alias("_text"),
+    )
+    typed = typed.withColumn("_short", F.coalesce(F.length("_text").between(1, ENUM_CHARS), F.lit(False)))
+    present = lambda test: F.coalesce(F.bool_and(F.when(F.col("_present"), test)), F.lit(False))
+    return typed.groupBy(*by, "key").agg(
         F.count("*").alias("n_present"),
-        F.count(F.when(present, 1)).alias("n_values"),
-        F.min(F.when(present, whole)).alias("min_int"),
-        F.max(F.when(present, whole)).alias("max_int"),
-        F.coalesce(F.bool_and(F.when(present, integer)), F.lit(False)).alias("all_int"),
-        F.coalesce(F.bool_and(F.when(present, k == "BOOLEAN")), F.lit(False)).alias("all_bool"),
-        F.coalesce(F.bool_and(F.when(present, short)), F.lit(False)).alias("all_short"),
-        F.coalesce(F.bool_and(F.when(present, (k == "STRING") | ~k.isin("BOOLEAN", "OBJECT", "ARRAY"))), F.lit(False)).alias("all_timelike"),
-        F.count_distinct(F.when(present & short, text)).alias("n_distinct"),
+        F.count(F.when(F.col("_present"), 1)).alias("n_values"),
+        F.min(F.when(F.col("_present"), F.col("_whole"))).alias("min_int"),
+        F.max(F.when(F.col("_present"), F.col("_whole"))).alias("max_int"),
+        present(F.col("_integer")).alias("all_int"),
+        present(F.col("_kind") == "BOOLEAN").alias("all_bool"),
+        present(F.col("_short")).alias("all_short"),
+        present(~F.col("_kind").isin("BOOLEAN", "OBJECT", "ARRAY")).alias("all_timelike"),
+        F.count_distinct(F.when(F.col("_present") & F.col("_short"), F.col("_text"))).alias("n_distinct"),
     )
 
 
