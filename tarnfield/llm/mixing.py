@@ -17,14 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, parallelism
 
 #: Weights and ramps of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 RAMPS = (1.5, 1.0, 0.5)
 #: No source is repeated more often than this.
 MAX_REPEATS = 3
-#: Rows of one (source, bucket), about.
+#: Rows of one (source, bucket) at most, about; there are more buckets than tasks in any case.
 BUCKET_ROWS = 50_000
 HASH_BITS = 60
 
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("order"), *[c.alias(n) for n, c in (carry or {}).items()]),
         "mix-sizes",
     )
-    buckets = 1 << max(4, (sized.count() // BUCKET_ROWS).bit_length())
+    buckets = 1 << max(sized.count() // BUCKET_ROWS, parallelism(docs.sparkSession)).bit_length()
     sized = sized.withColumn("bucket", F.shiftright("order", HASH_BITS - buckets.bit_length() + 1))
 
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
