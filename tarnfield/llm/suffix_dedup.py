@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_bits, bitmap_bytes, bitmap_has, bitmap_rows, discard, lean, materialise, row_slices, split_by_mark, with_mark
+from .common import bitmap_bits, bitmap_bytes, bitmap_has, bitmap_rows, discard, lean, materialise, row_slices, with_mark
 
 WINDOW = 200
 GRAM = 64
@@ -214,9 +214,17 @@ def hot_ranges(hot: DataFrame) -> DataFrame:
     rows = materialise(rows, "suffix-windows")
     # A string meets its equals at the same place before their anchors; without col it would meet itself at another anchor
     repeated = materialise(rows.groupBy("string_hash", "col").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "suffix-repeated")
-    _, maybe = split_by_mark(rows, F.col("string_hash"), repeated, F.col("string_hash"))
-    found = maybe.join(repeated, ["string_hash", "col"], "left_semi").groupBy("kind").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
+    bits = bitmap_bits(repeated.count())
+    marks = hot.sparkSession.sparkContext.broadcast(bitmap_bytes(repeated, F.col("string_hash"), bits))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.frombuffer(marks.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap_has(seen, bits, batch.column("string_hash").to_numpy())))
+
+    found = rows.mapInArrow(lean(likely), rows.schema).join(repeated, ["string_hash", "col"], "left_semi").groupBy("kind").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
     out = materialise(kinds.select("kind", "gram", "key").join(found, "kind").drop("kind"), "suffix-hot-ranges")
+    marks.destroy()
     discard(kinds, rows, repeated)
     return out
 
