@@ -298,10 +298,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             else:  # few are left
                 heads = entries.groupBy("signature", F.pmod(mine, F.lit(leaders)).alias("seat")).agg(F.min(F.struct("node", "sketch")).alias("head"))
                 heads = materialise(heads.select("signature", F.col("head.node").alias("leader"), F.col("head.sketch").alias("led")), "similar-leaders")
+                # Two leaders meet once
+                leads = heads.select("signature", F.col("leader").alias("node"), F.lit(True).alias("leads"))
+                entries = entries.join(leads, ["signature", "node"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
                 agree = F.aggregate(F.zip_with("sketch", "led", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-                members = entries.join(heads, "signature").where((F.col("leader") != F.col("node")) & (agree >= LIKELY))
+                once = (F.col("leader") < F.col("node")) | ((F.col("leader") > F.col("node")) & ~F.col("leads"))
+                members = entries.join(heads, "signature").where(once & (agree >= LIKELY))
             members = materialise(members.select("signature", "node", "sketch", "leader"), "similar-members")
-            rest = (members if leaders == 1 else entries).select("signature", "node", "sketch")
+            # Members that no leader took go on among themselves; leaders have met everyone
+            rest = (members if leaders == 1 else entries.where("not leads")).select("signature", "node", "sketch")
             if members.limit(1).count():
                 if sets is None:  # of all that any later round of this pass compares
                     sets = _sets(rows, materialise(members.select("node").union(members.select("leader")).distinct(), "similar-nodes"), words)
@@ -309,8 +314,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 links = _verified(pairs, sets, least)
                 linked = links if linked is None else linked.unionByName(links)
                 rest = rest.join(links, "node", "left_anti")
-            # Members that no leader took go on among themselves; leaders have met everyone
-            rest = rest.join(heads.select("signature", F.col("leader").alias("node")), ["signature", "node"], "left_anti")
             entries, leaders = materialise(rest, "similar-entries"), leaders * STEP
     if linked is None:
         return sketches.select("node", F.lit(None).cast(kind).alias("like"))
