@@ -20,7 +20,7 @@ from ..sources.store import TIME
 
 @dataclass
 class Options:
-    """fields: requested keys, none for all. since, until: inclusive ISO times. dedup: drop equal output lines."""
+    """fields: requested keys, none for all. since, until: inclusive ISO times. dedup: drop equal output lines; a stream forgets old ones, see follow.dedup_all."""
 
     fields: list[str] = field(default_factory=list)
     since: str | None = None

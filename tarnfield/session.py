@@ -7,12 +7,14 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-#: Runtime settings: times are UTC; of duplicate JSON keys the last wins.
+#: Runtime settings: times are UTC; of duplicate JSON keys the last wins; new streams keep state on disk, with bounded memory.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
 }
 
 

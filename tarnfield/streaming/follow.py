@@ -65,7 +65,7 @@ def dedup_recent(df: DataFrame, text: str = "line", buckets: int = BUCKETS, most
 
     State is bounded by count: each of the hash buckets has an even share of
     `most` hashes, trimmed to its share of the latest `kept`, so an old line
-    can pass again.
+    can pass again; dedup_all behind it drops those, too.
     """
     most, kept = max(1, most // buckets), max(1, kept // buckets)
 
@@ -85,6 +85,17 @@ def dedup_recent(df: DataFrame, text: str = "line", buckets: int = BUCKETS, most
     return rows.groupBy("bucket").applyInPandasWithState(step, "bucket long, line string", "hashes array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def dedup_all(df: DataFrame, text: str = "line") -> DataFrame:
+    """Drops rows whose text any earlier row of the stream had, by the text's SHA-256.
+
+    State is 32 bytes for each distinct text and is never dropped. It is kept
+    in RocksDB on the executors' disks (see session.RUNTIME), so memory stays
+    bounded and disk grows with the distinct texts.
+    """
+    # The digest is also the projection without which Spark 4.1 can't shuffle the rows of dedup_recent
+    return df.withColumn("_digest", F.unhex(F.sha2(text, 256))).dropDuplicates(["_digest"]).drop("_digest")
+
+
 def start(df: DataFrame, sink: str, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Starts an append query to a file sink; without an interval it takes what is there and ends."""
     writer = df.writeStream.format(sink).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

@@ -180,6 +180,41 @@ def test_stream_dedup_state_is_bounded(s, tmp_path):
     assert run() == sorted([f'{{"a":{i}}}' for i in range(5)] + ['{"a":7}'])  # the checkpoint remembers
 
 
+def test_stream_dedup_drops_what_the_bounded_state_forgot(s, tmp_path):
+    from tarnfield.streaming import follow
+
+    src = tmp_path / "in"
+    src.mkdir()
+
+    def run(name, values):
+        (src / name).write_text("\n".join(f'{{"a":{i}}}' for i in values))
+        rows = follow.follow_lines(s, str(src), files_per_batch=1).select(F.col("raw").alias("line"))
+        q = follow.start(follow.dedup_all(follow.dedup_recent(rows, buckets=1, most=6, kept=3)), "parquet", str(tmp_path / "out"), str(tmp_path / "state"))
+        q.awaitTermination()
+        assert all("rocksdbGetCount" in op["customMetrics"] for op in q.lastProgress["stateOperators"]) and len(q.lastProgress["stateOperators"]) == 2
+        return sorted(r.line for r in s.read.schema("bucket long, line string").parquet(str(tmp_path / "out")).collect())
+
+    assert run("1.ndjson", [i % 20 for i in range(100)]) == sorted(f'{{"a":{i}}}' for i in range(20))  # forgotten within a batch
+    assert run("2.ndjson", [0, 1, 20, 0]) == sorted(f'{{"a":{i}}}' for i in range(21))  # and before a restart
+
+
+def test_stream_dedup_recent_is_distinct_beyond_its_bound(s, sf_dir, monkeypatch):
+    """The query's rows are its SQL's, also where recent lines are too few to remember all."""
+    from functools import partial
+
+    import duckdb
+
+    from tarnfield.plans.catalog import ORACLES, QUERIES
+    from tarnfield.streaming import follow
+
+    monkeypatch.setattr(follow, "dedup_recent", partial(follow.dedup_recent, buckets=2, most=8, kept=4))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    rel = con.sql(ORACLES["stream_dedup_recent"])
+    got = QUERIES["stream_dedup_recent"](s, sf_dir).select(*rel.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rel.fetchall()))
+
+
 def test_stream_dedup_by_time(s, tmp_path):
     from tarnfield.streaming import follow
 
